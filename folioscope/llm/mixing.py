@@ -61,12 +61,12 @@ def domain_posteriors(docs: DataFrame, model: Linear, id_col: str = "doc_id", te
     return rows.mapInArrow(_posteriors(model), "rid long, n_tokens long, posterior array<double>")
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, rounds: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, rounds: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
     """(members with `rate`, figures of each domain).
 
-    members: (n_tokens, posterior), of any number of rows. The rates r minimise the sum over domains of
-    (sum of r * n_tokens * posterior - target)^2 / m, where m are the domain's tokens at rate 1 and the target is its
-    weight times `total` tokens (by default total_factor times all tokens), subject to r >= least_rate. Each round sums the domains' tokens
+    members: (n_tokens, posterior), of any number of rows. The rates r minimise the squared error of the domains' expected
+    tokens, the sum of r * n_tokens * posterior, against their targets, weighed by the inverse of the matrix of the
+    posteriors' products (the sum of n_tokens * posterior * posterior'). A domain's target is its weight times `total` tokens (by default total_factor times all tokens), subject to r >= least_rate. Each round sums the domains' tokens
     over the table, and only 2 k sums come to the driver; a row's rate follows from the rounds' residuals and its own
     posterior. A target that no rate can meet, of a domain without tokens, is left out.
     """
@@ -77,21 +77,20 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     tokens, at_one = float(got[0] or 0), np.array([float(x or 0) for x in got[1 : k + 1]])
     share = np.array(weights, float) / max(sum(weights), 1e-12)
     target = share * (tokens * total_factor if total is None else total)
-    scale = np.where(at_one > 0, at_one, 1.0)
     m, g = np.zeros((k, k)), iter(got[k + 1 :])
     for i in range(k):
         for j in range(i, k):
             m[i, j] = m[j, i] = float(next(g) or 0)
-    # The metric weighs a row's rate by its tokens: then a step moves it by the mean residual of its own domains.
-    lipschitz = max(float(np.linalg.eigvalsh(m / np.sqrt(np.outer(scale, scale))).max()), 1e-12)
+    # The squared error is weighed by the inverse of m. In the metric that weighs a row's rate by its tokens its slope then
+    # changes by no more than 1, and one whole step would do if no rate met its bound.
+    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
     now = ahead = at_one * max(1.0, least_rate)
     steps: list[tuple[float, np.ndarray]] = []
     rate: Column = F.lit(float(max(1.0, least_rate)))
     for t in range(rounds):
         if not np.any((at_one > 0) & (np.abs(now - target) > tolerance * np.maximum(target, 1e-3 * max(tokens, 1.0)))):
             break
-        residual = np.where(at_one > 0, (ahead - target) / scale, 0.0)
-        steps.append((t / (t + 3), residual / lipschitz))
+        steps.append((t / (t + 3), inverse @ np.where(at_one > 0, ahead - target, 0.0)))
         state = after_steps(steps, p, least_rate)
         rate = state["rate"]
         sums = [F.sum(F.col(f"state.{x}") * F.col("n_tokens") * y) for x in ("rate", "ahead") for y in p]
