@@ -15,6 +15,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,6 +31,8 @@ SKETCH_WORDS = 8
 SLACK = 0.25
 #: Nodes of one bucket that one task compares with as many others.
 BLOCK = 256
+#: Buckets of at most so many nodes are searched by a join.
+FEW = 16
 
 _SIGNED = pa.schema([
     ("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())),
@@ -132,6 +135,56 @@ def _confirm(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _cell(size: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """From a cell's (i, j, own, node, root, text): linked pairs that join components, one for each joining at most."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(space_words(t), size)) for t in rows["text"]]
+        own, i, j = rows["own"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        counts = np.array([len(x) for x in sets])
+        both = common_counts(sets, left, right)
+        linked = 100 * both >= percent * (counts[left][:, None] + counts[right][None, :] - both)
+        nodes, roots = rows["node"].tolist(), rows["root"].tolist()
+        parent = {r: r for r in roots}
+
+        def find(x: bytes) -> bytes:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            a, b = left[x], right[y]
+            if (ra := find(roots[a])) != (rb := find(roots[b])):
+                parent[max(ra, rb)] = min(ra, rb)
+                out.append((nodes[a], nodes[b]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of sets[left] with sets[right], by products of incidence matrices, some columns at a time."""
+    flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = n > 1 if len(left) != len(right) or (left != right).any() else n > 0
+    renamed = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], renamed[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, int(shared.sum()), columns):
+        part = slice(*np.searchsorted(column, [begin, begin + columns]))
+        matrix = np.zeros((len(sets), columns), np.float32)
+        matrix[owner[part], column[part] - begin] = 1
+        out += (matrix[left] @ matrix[right].T).astype(np.int64)
+    return out
+
+
 def most_differing(threshold: float, samples: int, bits: int, slack: float = SLACK) -> int:
     """The largest XOR population count at which the estimated similarity is threshold - slack or more.
 
@@ -150,7 +203,7 @@ def _plausible(a: str, b: str, percent: int, most: int) -> Column:
 
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS,
-    sketch_words: int = SKETCH_WORDS, block: int = BLOCK,
+    sketch_words: int = SKETCH_WORDS, block: int = BLOCK, few_members: int = FEW,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept, text_key), a row for each row of docs; text_key is xxhash64 of the text.
 
@@ -190,17 +243,19 @@ def near_groups(
     placed = buckets.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high").select("band", "members")
     contested = placed.join(mixed, "band").join(sketches.select("node", "n_shingles", "sketch"), "node")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = contested.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("band", "node", "root", "n_shingles", "sketch", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
-    cells = dealt.select("band", *cell, "node", "root", "own", F.struct("n_shingles", "sketch").alias("s"))
-    left = cells.where("own = i").select("band", "i", "j", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("s").alias("x"))
-    right = cells.where("own = j").select("band", "i", "j", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("s").alias("y"))
-    across = left.join(right, ["band", "i", "j"]).where("root_a <> root_b and (i <> j or a < b)").where(_plausible("x", "y", percent, most))
+    # Small buckets: pairs that the sketches allow, confirmed like those of the stars.
+    few = contested.where(F.col("members") <= few_members).select("band", "node", "root", F.struct("n_shingles", "sketch").alias("s"))
+    left = few.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("s").alias("x"))
+    right = few.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("s").alias("y"))
+    across = left.join(right, "band").where("root_a <> root_b and a < b").where(_plausible("x", "y", percent, most)).select("a", "b").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = stored(near.unionByName(confirmed(fresh)), "links")
+    fresh = across.join(tried, ["a", "b"], "left_anti")
+    # Large buckets: cells of two blocks, in which full sets are compared without listing the pairs.
+    many = contested.where(F.col("members") > few_members).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    dealt = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own").join(candidates, "node")
+    within = cells.groupBy("band", "i", "j").applyInPandas(_cell(size, percent), "a binary, b binary").distinct()
+    links = stored(near.unionByName(confirmed(fresh)).unionByName(within), "links")
     roots = components(links)
 
     lowest = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))

@@ -57,7 +57,7 @@ def test_grace_spills_and_merges_ids(tmp_path):
 @pytest.mark.parametrize("which,percent", [("hard", 85), ("given", 80)])
 def test_near_groups(which, percent, request):
     df, rows = request.getfixturevalue(which)
-    got = near_dedup.near_groups(df, percent=percent, block=8).collect()
+    got = near_dedup.near_groups(df, percent=percent, block=8, few_members=5).collect()
     same([r[:3] for r in got], brute.near_groups(rows, percent))
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got)
 
