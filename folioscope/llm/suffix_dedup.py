@@ -28,6 +28,8 @@ WINDOW, GRAM = 200, 32
 SHARD_BYTES = 1 << 20
 #: Segments of one key in one shard; a key with more is dealt into several.
 KEY_SEGMENTS = 4096
+#: Windows that are merged together, about.
+MERGED = 20_000
 #: Bytes of distinct segments that a task counts before the shuffle.
 COMBINED = 32 << 20
 #: Windows that are looked at together; with the overlap they are fewer than POSITIONS.
@@ -388,8 +390,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     results = stored(inside, "marks")
     marks = results.where("win is null").select("key", "digest", "lo", "hi")
     windows = results.where("win is not null")
-    merged = windows.groupBy(F.xxhash64("key", "win")).applyInPandas(_merge, "key long, digest binary, lo int, hi int") if windows.take(1) else None
-    if merged is not None:
+    if n_windows := windows.count():
+        # Equal windows meet in one group; groups are of some thousand windows.
+        merged = windows.groupBy(F.pmod(F.xxhash64("key", "win"), F.lit(-(-n_windows // MERGED)))).applyInPandas(_merge, "key long, digest binary, lo int, hi int")
         marks = marks.unionByName(merged)
 
     places = touched.mapInArrow(_emit_places(window), "key long, tid binary, start long, digest binary")
