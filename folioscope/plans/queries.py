@@ -5,6 +5,194 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from folioscope.config import IndexConfig
+from folioscope.functions import text as t
+from folioscope.operators import index, keywords, merge, names, render, reports, search
+from folioscope.sources import tables
+
+#: The keywords that the queries index.
+KEYWORDS = ["the", "The", "und", "des", "que", "über", "tion", "General Public License", "Apache License", " password ", "", "idiot", "nowhere"]
+USED = ["The", "und", "des", "que", "über", "tion", "General Public License", "Apache License", "password", "idiot", "nowhere"]
+MERGES = [("des", "que"), ("que", "und"), ("nowhere", "und")]
+CONFIG = IndexConfig()
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return tables.documents_as_book(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def hits(spark: SparkSession, sf: str, config: IndexConfig = CONFIG) -> DataFrame:
+    return keywords.keyword_hits(pages(spark, sf), KEYWORDS, config)
+
+
+def part_occ(spark: SparkSession, sf: str) -> DataFrame:
+    """A large index: parts' brands and types, on the pages of their orders."""
+    part, item = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/lineitem.parquet")
+    term = F.explode(F.array("p_brand", "p_type")).alias("term")
+    rows = item.join(part, item["l_partkey"] == part["p_partkey"]).select(F.lit("orders").alias("book_id"), term, F.col("l_orderkey").cast("int").alias("page_idx"))
+    return rows.distinct().withColumn("page_label", (F.col("page_idx") + 1).cast("string"))
+
+
+def name_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return names.plain_tokens(pages(spark, sf))
+
+
+def merged(spark: SparkSession, sf: str) -> DataFrame:
+    return index.suppress_covered(index.unite(hits(spark, sf), names.name_index(name_tokens(spark, sf))))
+
+
+def word_occ(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of customers' segments, order priorities and part names, on their own keys as pages."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select(F.explode(F.array("p_name", "p_type", "p_brand", F.upper("p_brand"), F.regexp_replace("p_type", " ", "-"))).alias("term"), F.col("p_partkey").cast("int").alias("page_idx"))
+    return part.select(F.lit("parts").alias("book_id"), "term", "page_idx", (F.col("page_idx") + 1).cast("string").alias("page_label")).distinct()
+
+
+def terms_of(occ: DataFrame) -> DataFrame:
+    return occ.select("book_id", "term").distinct()
+
+
+def q_token_classes(spark: SparkSession, sf: str) -> DataFrame:
+    token = F.col("token")
+    each = pages(spark, sf).select(F.explode(t.tokens(F.col("text"))).alias("token"))
+    classes = {"punctuation": t.is_punctuation(token), "all_caps": t.is_all_caps(token), "roman": t.is_roman(token), "number_like": t.is_number_like(token), "footnote": t.is_footnote_ref(token), "capitalised": t.is_capitalised(token)}
+    return each.agg(F.count("*").alias("tokens"), *[F.count_if(c).alias(n) for n, c in classes.items()])
+
+
+def flat_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    found = merge.merge_suggestions(index.nested(word_occ(spark, sf)))
+    return found.select("source", "source_pages", F.array_join(F.transform("containers", lambda c: c["entry"]), "; ").alias("containers"), "target", "target_pages")
+
+
+def q_merge_undo(spark: SparkSession, sf: str) -> DataFrame:
+    occ = hits(spark, sf)
+    after, original, added = merge.merge_with_undo(occ, "des", "que")
+    return merge.undo(after, original, added, "que").select("term", "page_idx", "page_label")
+
+
+def q_pending(spark: SparkSession, sf: str) -> DataFrame:
+    found = flat_suggestions(spark, sf)
+    decisions = found.where("source like '%1%'").select("source", F.lit("separate").alias("decision"), "target")
+    return merge.pending(found, decisions).select("source", "target")
+
+
+def html_bold_names(spark: SparkSession, sf: str) -> DataFrame:
+    blocks = tables.html_as_blocks(spark.read.parquet(f"{sf}/pages.parquet"))
+    return names.discover(names.span_tokens(blocks), include_bold=True).select("page_idx", "name", "at")
+
+
+def highlight(spark: SparkSession, sf: str) -> DataFrame:
+    return search.highlights(pages(spark, sf), spark.createDataFrame([(0, "que"), (1, "Public License"), (2, "General Public License"), (3, "idiot")], "ord int, term string"))
+
+
+def lines_of(spark: SparkSession, sf: str) -> DataFrame:
+    return index.formatted(hits(spark, sf))
+
+
+QUERIES: dict[str, Query] = {
+    "keyword_hits": lambda s, d: hits(s, d).select("term", "page_idx", "page_label"),
+    "keyword_hits_from_offset": lambda s, d: hits(s, d, IndexConfig(page_offset=-50, index_from_offset=True)).select("term", "page_idx", "page_label"),
+    "keyword_labels_physical": lambda s, d: hits(s, d, IndexConfig(page_strategy="physical", page_offset=7)).select("term", "page_idx", "page_label"),
+    "keyword_index_formatted": lambda s, d: lines_of(s, d).select("display_term", "pages"),
+    "keyword_index_capitalised": lambda s, d: index.formatted(hits(s, d), capitalize=True).select("display_term", "pages"),
+    "index_text_lines": lambda s, d: render.text_lines(lines_of(s, d)).select("line"),
+    "index_markdown_lines": lambda s, d: render.markdown_lines(lines_of(s, d)).select("line"),
+    "index_html_lines": lambda s, d: render.html_lines(lines_of(s, d)).select("line"),
+    "index_active_links": lambda s, d: render.active_lines(hits(s, d)).select("line"),
+    "part_index_formatted": lambda s, d: index.formatted(part_occ(s, d)).select("display_term", "pages"),
+    "keyword_sort_dedup": lambda s, d: keywords.sort_and_dedup(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("ord"), F.concat(F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, F.upper("p_type")).otherwise(F.col("p_type"))).alias("word"))),
+    "unused_keywords": lambda s, d: reports.unused_keywords(terms_of(part_occ(s, d)), s.read.parquet(f"{d}/part.parquet").select(F.explode(F.array(F.upper("p_type"), "p_name", F.concat(F.lit(" "), "p_brand"))).alias("word")).distinct()),
+    "token_classes": q_token_classes,
+    "tokens": lambda s, d: pages(s, d).select(F.explode(t.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")),
+    "names_discovered": lambda s, d: names.discover(name_tokens(s, d)).groupBy("name").agg(F.count("*").alias("n")),
+    "names_html_bold": html_bold_names,
+    "name_occurrences": lambda s, d: names.locate(name_tokens(s, d), names.vocabulary(names.discover(name_tokens(s, d)))).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("page_idx").alias("n_pages")),
+    "name_index": lambda s, d: names.name_index(name_tokens(s, d)).select("term", "page_idx", "page_label"),
+    "merged_index": lambda s, d: merged(s, d).select("term", "page_idx", "page_label"),
+    "merged_index_user": lambda s, d: merge.apply_merges(hits(s, d), MERGES).select("term", "page_idx", "page_label"),
+    "suppressed_index": lambda s, d: index.suppress_covered(word_occ(s, d)).select("term", "page_idx"),
+    "merge_suggestions": flat_suggestions,
+    "merge_pending": q_pending,
+    "merge_undo": q_merge_undo,
+    "report_similar_pairs": lambda s, d: reports.similar_pairs(terms_of(word_occ(s, d)), None).select("a", "b"),
+    "report_similar_clusters": lambda s, d: reports.similar_clusters(reports.similar_pairs(terms_of(word_occ(s, d)), None)).select("term", "cluster"),
+    "report_overlapping": lambda s, d: reports.overlapping(terms_of(word_occ(s, d))).select("term", F.array_join("containers", "; ").alias("containers")),
+    "report_capitalization": lambda s, d: reports.capitalization_variants(terms_of(word_occ(s, d))).select("folded", F.array_join("variants", "; ").alias("variants")),
+    "report_formatting": lambda s, d: reports.formatting_variants(terms_of(word_occ(s, d))).select(F.array_join("variants", "; ").alias("variants")),
+    "report_thin": lambda s, d: reports.thin(index.nested(word_occ(s, d)), 3).select("term", "n_pages"),
+    "report_dense": lambda s, d: reports.dense(index.nested(part_occ(s, d)), 20).select("term", "n_pages", "note"),
+    "report_shared_pages": lambda s, d: reports.shared_pages(word_occ(s, d), max_entries=None).select("a", "b", "note"),
+    "report_acronyms": lambda s, d: reports.acronyms(terms_of(word_occ(s, d)).unionByName(s.read.parquet(f"{d}/part.parquet").select(F.lit("parts").alias("book_id"), F.regexp_replace("p_type", r"\B\w+|\s", "").alias("term")).distinct())).select("acronym", "expansion"),
+    "report_summary": lambda s, d: reports.summary(word_occ(s, d), keywords.literal_terms(s, KEYWORDS)),
+    "cloud_all": lambda s, d: search.cloud_all(pages(s, d)),
+    "cloud_in_index": lambda s, d: search.cloud_in_index(part_occ(s, d)),
+    "cloud_not_in_index": lambda s, d: search.cloud_not_in_index(pages(s, d), hits(s, d)),
+    "cloud_keyword_flag": lambda s, d: search.keyword_flag(search.cloud_all(pages(s, d)), keywords.literal_terms(s, USED)),
+    "filter_lines": lambda s, d: search.filter_lines(render.text_lines(lines_of(s, d)), "LICENSE").select("line"),
+    "terms_on_page": lambda s, d: index.terms_on_page(hits(s, d), 7).select("term"),
+    "phrase_search": lambda s, d: search.phrase_search(pages(s, d), "Public License").select("page_idx", "match_ord", "start"),
+    "phrase_count": lambda s, d: search.phrase_count(pages(s, d), "que").select("matches"),
+    "highlight_terms": lambda s, d: highlight(s, d).select("page_idx", "at", "term"),
+    "highlight_accent": lambda s, d: search.accent(highlight(s, d), "Public License").select("page_idx", "at"),
+}
+
+_LETTER = r"[^\p{L}\p{N}_]"
+_VALUES = ", ".join(f"('{w}')" for w in USED)
+
+
+def _hits_sql(label: str = "doc_id + 1", where: str = "true") -> str:
+    return f"select term, doc_id::int as page_idx, cast({label} as varchar) as page_label from documents, (values {_VALUES}) k(term) where {where} and regexp_matches(text, '(?i)(^|{_LETTER})' || term || '($|{_LETTER})')"
+
+
+_RUNS = "select term, page_idx - row_number() over (partition by term order by page_idx) as island, page_idx, page_label from occ"
+_SPANS = f"select term, min(page_idx) as f, arg_min(page_label, page_idx) as fl, max(page_idx) as l, arg_max(page_label, page_idx) as ll from ({_RUNS}) group by term, island"
+_LINES = f"select term as display_term, string_agg(case when f = l then fl else fl || '-' || ll end, ', ' order by f) as pages from ({_SPANS}) group by term"
+_OCC = f"with occ as ({_hits_sql()}), lines as ({_LINES}) "
+_PARTS = "with occ as (select distinct term, l_orderkey::int as page_idx, cast(l_orderkey + 1 as varchar) as page_label from lineitem join (select p_partkey, unnest([p_brand, p_type]) as term from part) on l_partkey = p_partkey) "
+_WORDS = "with occ as (select distinct unnest([p_name, p_type, p_brand, upper(p_brand), replace(p_type, ' ', '-')]) as term, p_partkey::int as page_idx from part), terms as (select distinct term, list_distinct(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+')) as w from occ), sizes as (select term, count(*)::int as n from occ group by term) "
+_CONTAINED = "(select a.term as a, b.term as b, a.w as wa, b.w as wb from terms a join terms b on a.term <> b.term and len(a.w) > 0 and list_has_all(b.w, a.w) and (len(a.w) < len(b.w) or len(a.w) = len(b.w) and length(a.term) < length(b.term)))"
+_SUBSET = "(len(a.w) = 0 or len(b.w) = 0 or list_has_all(a.w, b.w) or list_has_all(b.w, a.w))"
+_CLOUD_STOP = ", ".join(f"'{w}'" for w in sorted(search.lexicon.CLOUD_STOPWORDS))
+_CLOUD = f"select word, count(*) as count from (select unnest(regexp_extract_all(lower(text), '\\p{{L}}[\\p{{L}}\\p{{N}}_'']+')) as word from documents) where word not in ({_CLOUD_STOP})"
+_SUGGEST = _WORDS + ", pairs as (select a, b from " + _CONTAINED + " where len(wa) < len(wb) or contains(' ' || regexp_replace(lower(b), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' ', ' ' || regexp_replace(lower(a), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' ') and contains(lower(b), lower(a))), found as (select a as source, string_agg(b, '; ' order by -length(b), lower(b), b) as containers, arg_min(b, (-length(b), lower(b), b)) as target from pairs group by a) "
+_SIMILAR = "select a.term as a, b.term as b from terms a join terms b on a.term < b.term and abs(length(a.term) - length(b.term)) <= 3 and levenshtein(lower(a.term), lower(b.term)) <= 3 and not " + _SUBSET
+_GROUPS = ", groups as (select list(distinct term order by term) as v from (select term, 'w:' || array_to_string(list_sort(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+')), ' ') as k from occ where len(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+')) >= 2 union all select term, 'h:' || regexp_replace(lower(term), '[-\\s]', '', 'g') from occ) group by k having count(distinct term) >= 2), uniq as (select distinct v from groups) "
+
+ORACLE_SQL: dict[str, str] = {
+    "keyword_hits": _hits_sql(),
+    "keyword_hits_from_offset": _hits_sql(where="doc_id >= 50"),
+    "keyword_labels_physical": _hits_sql(label="doc_id + 8"),
+    "keyword_index_formatted": _OCC + "select * from lines",
+    "keyword_index_capitalised": _OCC + "select upper(display_term[1]) || display_term[2:] as display_term, arg_max(pages, (lower(display_term), display_term)) as pages from lines group by 1",
+    "index_text_lines": _OCC + "select display_term || ': ' || pages as line from lines",
+    "index_markdown_lines": _OCC + "select '**' || display_term || '**: ' || pages || '  ' as line from lines",
+    "index_html_lines": _OCC + "select '<div><b>' || display_term || '</b>: ' || pages || '</div>' as line from lines",
+    "index_active_links": f"with occ as ({_hits_sql()}) select '<div><b>' || term || '</b>: ' || string_agg('<a href=\"#' || f || '|' || term || '\">' || fl || '</a>' || case when f = l then '' else '-<a href=\"#' || l || '|' || term || '\">' || ll || '</a>' end, ', ' order by f) || '</div>' as line from ({_SPANS}) group by term",
+    "part_index_formatted": _PARTS + _LINES,
+    "keyword_sort_dedup": "select arg_min(word, ord) as word from (select p_partkey as ord, case when p_partkey % 2 = 0 then upper(p_type) else p_type end as word from part) group by lower(word)",
+    "unused_keywords": "select distinct word from (select unnest([upper(p_type), p_name, ' ' || p_brand]) as word from part) where lower(word) not in (select lower(p_type) from part join lineitem on l_partkey = p_partkey union select lower(p_brand) from part join lineitem on l_partkey = p_partkey)",
+    "tokens": "select token, count(*) as n from (select unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''’-]*[\\p{L}\\p{N}_])?|[^\\s\\p{L}\\p{N}_]')) as token from documents) group by token",
+    "token_classes": "select count(*) as tokens, count(*) filter (regexp_matches(t, '^\\p{P}+$')) as punctuation, count(*) filter (regexp_matches(t, '^\\p{L}{2,}$') and t = upper(t)) as all_caps, count(*) filter (regexp_matches(t, '^[IVXLCDM]{1,8}$')) as roman, count(*) filter (regexp_matches(t, '^\\p{Nd}+$') or length(t) <= 4 and regexp_matches(t, '\\p{Nd}')) as number_like, count(*) filter (regexp_matches(t, '^[\\p{Nd}†‡§¶*]+$')) as footnote, count(*) filter (regexp_matches(t, '^\\p{Lu}')) as capitalised from (select unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_](?:[\\p{L}\\p{N}_''’-]*[\\p{L}\\p{N}_])?|[^\\s\\p{L}\\p{N}_]')) as t from documents)",
+    "merged_index_user": f"with occ as ({_hits_sql()}) select distinct case when term in ('des', 'que') then 'und' else term end as term, page_idx, page_label from occ",
+    "suppressed_index": _WORDS + ", parts as (select distinct unnest(regexp_split_to_array(lower(term), '[\\s,]+')) as word, page_idx from occ where regexp_matches(term, '[ ,]')) select term, page_idx from occ where regexp_matches(term, '[ ,]') or (lower(term), page_idx) not in (select word, page_idx from parts)",
+    "merge_suggestions": _SUGGEST + "select source, s.n as source_pages, containers, target, t.n as target_pages from found join sizes s on s.term = source join sizes t on t.term = target",
+    "merge_pending": _SUGGEST + "select source, target from found where source not like '%1%'",
+    "merge_undo": _hits_sql(),
+    "report_similar_pairs": _WORDS + _SIMILAR,
+    "report_overlapping": _WORDS + "select a as term, string_agg(b, '; ' order by len(wb), lower(b), b) as containers from " + _CONTAINED + " group by a",
+    "report_capitalization": _WORDS + "select lower(term) as folded, string_agg(term, '; ' order by term) as variants from terms group by 1 having count(*) >= 2",
+    "report_formatting": _WORDS + _GROUPS + "select array_to_string(v, '; ') as variants from uniq a where not exists (select 1 from uniq b where len(a.v) < len(b.v) and list_has_all(b.v, a.v))",
+    "report_thin": _WORDS + "select term, n as n_pages from sizes where n <= 3",
+    "report_dense": _PARTS + "select term, count(*)::int as n_pages, count(*) || ' pages' as note from occ group by term having count(*) >= 20",
+    "report_shared_pages": _WORDS + ", j as (select x.term as a, y.term as b, count(*) as k from occ x join occ y on x.page_idx = y.page_idx and x.term < y.term group by all), s as (select j.a, j.b, k::double / (p.n + q.n - k) as score from j join sizes p on p.term = j.a join sizes q on q.term = j.b) select s.a, s.b, trunc(score * 100)::int || '% overlap' as note from s join terms a on a.term = s.a join terms b on b.term = s.b where score >= 0.8 and not (len(a.w) > 0 and len(b.w) > 0 and (list_has_all(a.w, b.w) or list_has_all(b.w, a.w)))",
+    "cloud_all": _CLOUD + " group by word order by count desc, word limit 200",
+    "cloud_in_index": _PARTS + "select term as word, count(*) as count from occ group by term",
+    "cloud_not_in_index": f"with occ as ({_hits_sql()}), known as (select distinct unnest(regexp_split_to_array(lower(term), '[^\\p{{L}}\\p{{N}}_]+')) as word from occ) " + _CLOUD + " and word not in (select word from known) group by word order by count desc, word limit 200",
+    "cloud_keyword_flag": f"select word, count, word in (select lower(k) from (values {_VALUES}) v(k)) as is_keyword from ({_CLOUD} group by word order by count desc, word limit 200)",
+    "filter_lines": _OCC + "select display_term || ': ' || pages as line from lines where contains(lower(display_term || ': ' || pages), 'license')",
+    "terms_on_page": f"with occ as ({_hits_sql()}) select distinct term from occ where page_idx = 7",
+    "phrase_count": "select sum(len(regexp_extract_all(text, '(?i)que')))::bigint as matches from documents",
+}
