@@ -102,7 +102,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mix_sources, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_scan_secrets, op6_shard, op7_quality, op8_warc_store, op9_suffix_dedup, op10_scan_licenses)
 }
 
-#: Words in DuckDB.
-_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: SQL for the operators that it can express in full.
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+with items as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+windows as (select distinct item, least(10, len(w)) as k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as s
+            from items, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) where len(w) > 0),
+docs as (select doc_id, {_WORDS} as w from documents),
+looks as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as s from docs, (select distinct k from windows) z, unnest(range(1, len(w) - k + 2)) u(i)),
+hits as (select doc_id, i, looks.k as k, item from looks join windows using (k, s)),
+covered as (select doc_id, count(distinct p) as n from hits, unnest(range(i, i + k)) q(p) group by doc_id),
+found as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as s from (select distinct doc_id, item from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(covered.n, 0)::bigint as n_hit, coalesce(found.n, 0)::bigint as n_items,
+       sha256(coalesce(found.s, '')) as items_sha256, covered.n is not null as contaminated
+from docs left join covered using (doc_id) left join found using (doc_id)""",
+    "op4_exact_dedup": f"""
+with n as (select doc_id, {_LOWER} as t from documents), g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)""",
+}
