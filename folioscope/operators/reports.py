@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,29 @@ def _piece(k: int, start: Column, size: Column):  # noqa: ANN202
     return at
 
 
-def similar_clusters(pairs: DataFrame) -> DataFrame:
-    """(book_id, term, cluster): the smallest term that each of a pair is connected with. Rounds of minima, until none changes;
-    the pairs are of one index's similar spellings."""
+def _united(rows: pd.DataFrame) -> pd.DataFrame:
+    """Clusters of one book's pairs."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in zip(rows["a"], rows["b"], strict=True):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return pd.DataFrame([(rows["book_id"].iloc[0], x, find(x)) for x in sorted(root)], columns=["book_id", "term", "cluster"])
+
+
+def similar_clusters(pairs: DataFrame, bounded: bool = False) -> DataFrame:
+    """(book_id, term, cluster): the smallest term that each of a pair is connected with.
+
+    bounded: the pairs come from books of at most MOST_SIMILAR entries, and a book is done in one group. Else rounds of
+    minima go on until none changes.
+    """
+    if bounded:
+        return pairs.select("book_id", "a", "b").groupBy("book_id").applyInPandas(_united, "book_id string, term string, cluster string")
     both = pairs.select("book_id", "a", "b").unionByName(pairs.select("book_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
     label = both.select("book_id", F.col("a").alias("term")).distinct().withColumn("cluster", F.col("term"))
     for _ in range(50):
@@ -148,7 +169,7 @@ def summary(occ: DataFrame, keywords: DataFrame, most: int = 1, least: int = 20,
 
     terms, index = occ.select("book_id", "term").distinct(), nested(occ)
     makers = {
-        "similar_terms": lambda: similar_clusters(similar_pairs(terms)).select("book_id", "cluster").distinct(), "overlapping_terms": lambda: overlapping(terms),
+        "similar_terms": lambda: similar_clusters(similar_pairs(terms), bounded=True).select("book_id", "cluster").distinct(), "overlapping_terms": lambda: overlapping(terms),
         "capitalization_variants": lambda: capitalization_variants(terms), "formatting_variants": lambda: formatting_variants(terms), "unused_include_terms": lambda: unused_keywords(terms, keywords),
         "thin_entries": lambda: thin(index, most), "dense_entries": lambda: dense(index, least), "shared_page_sets": lambda: shared_pages(occ), "acronym_pairs": lambda: acronyms(terms),
     }
