@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope import lexicon
 from folioscope.config import IndexConfig
 from folioscope.functions import text as t
-from folioscope.operators import index, keywords, merge, names, render, reports, search
+from folioscope.operators import consolidate, index, keywords, merge, names, render, reports, search
 from folioscope.sources import tables
 
 #: The keywords that the queries index.
@@ -51,6 +52,14 @@ def word_occ(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(F.lit("parts").alias("book_id"), "term", "page_idx", (F.col("page_idx") + 1).cast("string").alias("page_label")).distinct()
 
 
+def form_occ(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts' names and types with their first two words and each word, on the parts' keys as pages where that form is."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    forms = [F.array(c, F.substring_index(c, " ", 2)) for c in ("p_name", "p_type")] + [F.split(c, " ") for c in ("p_name", "p_type")]
+    each = part.select(F.posexplode(F.concat(*forms)).alias("at", "term"), F.col("p_partkey").cast("int").alias("page_idx")).where("page_idx % 7 <> at")
+    return each.select(F.lit("parts").alias("book_id"), "term", "page_idx", (F.col("page_idx") + 1).cast("string").alias("page_label")).distinct()
+
+
 def terms_of(occ: DataFrame) -> DataFrame:
     return occ.select("book_id", "term").distinct()
 
@@ -114,6 +123,8 @@ QUERIES: dict[str, Query] = {
     "merged_index": lambda s, d: merged(s, d).select("term", "page_idx", "page_label"),
     "merged_index_user": lambda s, d: merge.apply_merges(hits(s, d), MERGES).select("term", "page_idx", "page_label"),
     "suppressed_index": lambda s, d: index.suppress_covered(word_occ(s, d)).select("term", "page_idx"),
+    "name_groups": lambda s, d: consolidate.name_groups(terms_of(form_occ(s, d))).select("term", "longest_form"),
+    "name_group_pages": lambda s, d: consolidate.group_pages(form_occ(s, d), consolidate.name_groups(terms_of(form_occ(s, d)))).select("longest_form", "term", "page_idx", "page_label"),
     "merge_suggestions": flat_suggestions,
     "merge_pending": q_pending,
     "merge_undo": q_merge_undo,
@@ -162,8 +173,19 @@ _CLOUD = f"select word, count(*) as count from (select unnest(regexp_extract_all
 _SUGGEST = _WORDS + ", pairs as (select a, b from " + _CONTAINED + " where len(wa) < len(wb) or contains(' ' || regexp_replace(lower(b), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' ', ' ' || regexp_replace(lower(a), '[^\\p{L}\\p{N}_]', ' ', 'g') || ' ') and contains(lower(b), lower(a))), found as (select a as source, string_agg(b, '; ' order by -length(b), lower(b), b) as containers, arg_min(b, (-length(b), lower(b), b)) as target from pairs group by a) "
 _SIMILAR = "select a.term as a, b.term as b from terms a join terms b on a.term < b.term and abs(length(a.term) - length(b.term)) <= 3 and levenshtein(lower(a.term), lower(b.term)) <= 3 and not " + _SUBSET
 _GROUPS = ", groups as (select list(distinct term order by term) as v from (select term, 'w:' || array_to_string(list_sort(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+')), ' ') as k from occ where len(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]+')) >= 2 union all select term, 'h:' || regexp_replace(lower(term), '[-\\s]', '', 'g') from occ) group by k having count(distinct term) >= 2), uniq as (select distinct v from groups) "
+_GENERIC = ", ".join(f"'{w}'" for w in sorted(lexicon.NOT_PERSONS))
+_FORMS = f"""with part_forms as (select p_partkey::int as page_idx, [p_name, array_to_string(string_split(p_name, ' ')[:2], ' '), p_type, array_to_string(string_split(p_type, ' ')[:2], ' ')] || string_split(p_name, ' ') || string_split(p_type, ' ') as f from part),
+occ as (select distinct term, page_idx, cast(page_idx + 1 as varchar) as page_label from (select unnest(f) as term, unnest(range(len(f))) as k, page_idx from part_forms) where page_idx % 7 <> k),
+terms as (select distinct term, string_split(lower(term), ' ') as w from occ),
+pairs as (select a.term as s, b.term as l, len(a.w) as ns, b.w as lw from terms a join terms b on len(a.w) < len(b.w) and contains(' ' || lower(b.term) || ' ', ' ' || lower(a.term) || ' ')
+          where len(a.w) >= 2 or list_position(b.w, a.w[1]) = len(b.w) or not list_has_any(b.w[:list_position(b.w, a.w[1]) - 1] || b.w[list_position(b.w, a.w[1]) + 1:], [{_GENERIC}])),
+chosen as (select s, arg_min(l, (-len(lw), lower(l), l)) as l from pairs where l not in (select s from pairs where ns >= 2) group by s),
+groups as (select term, coalesce(l, term) as longest_form from terms left join chosen on s = term) """
 
 ORACLE_SQL: dict[str, str] = {
+    "name_groups": _FORMS + "select * from groups",
+    "name_group_pages": _FORMS + f"""select longest_form, case when term <> longest_form then term when len(string_split(term, ' ')) = 2 and not list_has_any(string_split(lower(term), ' '), [{_GENERIC}]) then split_part(term, ' ', 2) || ', ' || split_part(term, ' ', 1) else term end as term, page_idx, page_label
+from occ join groups using (term) where term = longest_form or (longest_form, page_idx) not in (select term, page_idx from occ)""",
     "keyword_hits": _hits_sql(),
     "keyword_hits_from_offset": _hits_sql(where="doc_id >= 50"),
     "keyword_labels_physical": _hits_sql(label="doc_id + 8"),

@@ -2,7 +2,9 @@
 
 import pytest
 
-from folioscope.operators import index, merge, names
+from pyspark.sql import functions as F
+
+from folioscope.operators import consolidate, index, merge, names
 
 CASES = [
     ("We met John Smith in Dublin. Smith left.", ["John Smith", "Dublin"]), ("He saw Dr John Smith there.", ["John Smith"]), ("London is big. Paris too.", []),
@@ -79,3 +81,26 @@ def test_ranges_suppression_and_merges(spark):
 def test_suggestions(spark):
     got = merge.merge_suggestions(index.nested(occ(spark, [("Smith", [1]), ("John Smith", [1]), ("Smith, John", [2])]))).collect()
     assert [(r["source"], [c["entry"] for c in r["containers"]], r["target"]) for r in got] == [("Smith", ["Smith, John", "John Smith"], "Smith, John")]
+
+
+def test_groups_of_forms(spark):
+    rows = [
+        ("John Smith", [1, 2]), ("Smith", [2, 3]), ("john", [4]), ("Cambridge Professor", [1]), ("Cambridge", [1, 5]), ("Dr Jenny Macmillan Lodge", [7]), ("Jenny Macmillan", [7, 8]), ("Macmillan", [9]), ("Anna Smith", [6]), (" ", [1]),
+    ]
+    terms = occ(spark, rows)
+    groups = consolidate.name_groups(terms)
+    assert {r["term"]: r["longest_form"] for r in groups.collect() if r["term"] != r["longest_form"]} == {
+        "Smith": "Anna Smith", "john": "John Smith", "Jenny Macmillan": "Dr Jenny Macmillan Lodge", "Macmillan": "Dr Jenny Macmillan Lodge",
+    }
+    got = pages_of(consolidate.group_pages(terms, groups))
+    assert got["Smith, John"] == {1, 2} and got["Smith"] == {2, 3} and got["Jenny Macmillan"] == {8} and got["Cambridge"] == {1, 5} and got["Cambridge Professor"] == {1}
+    assert consolidate.group_pages(terms.limit(0), groups).count() == 0 and consolidate.name_groups(terms.limit(0)).count() == 0
+
+
+def test_lines_in_capitals_and_last_characters(spark):
+    line = lambda *texts: ([0.0, 0.0, 1.0, 1.0], [(x, 0) for x in texts])
+    blocks = [(0, [line("THE ", "END 12"), line("The END"), line("12")]), (1, [line("NO TEXT")]), (0, [line("ÄRGER. "), line("  ", None)])]
+    kind = "book_id string, page_idx int, page_label string, blocks array<struct<type: int, lines: array<struct<bbox: array<double>, spans: array<struct<text: string, flags: int>>>>>>"
+    pages = spark.createDataFrame([("b", 0, "1", blocks)], kind)
+    assert [r["line"] for r in names.all_caps_lines(pages).collect()] == [0, 3]
+    assert pages.select(F.transform("blocks", names.last_text_char).alias("c")).first()["c"] == ["2", "T", "."]
