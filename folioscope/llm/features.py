@@ -75,6 +75,12 @@ class Sample:
         new, words = np.cumsum(chosen) - 1, chosen[self.row]
         return Sample(self.dense[chosen], self.index[words], self.weight[words], new[self.row[words]], self.label[chosen])
 
+    def dealt(self, size: int, seed: int = 5) -> list[tuple[np.ndarray, Sample]]:
+        """(numbers of rows, the rows) of parts of at most `size` rows, dealt at random; one part at least."""
+        n = max(1, -(-len(self) // size))
+        of = np.random.default_rng(seed).permutation(np.arange(len(self)) % n)
+        return [(np.flatnonzero(of == k), self.part(of == k)) for k in range(n)]
+
 
 @dataclass
 class Linear:
@@ -111,12 +117,16 @@ class Linear:
         return self.shaped(sample.dense).T @ each, words
 
 
-def fit(model: Linear, sample: Sample, slope: Callable[[np.ndarray], np.ndarray], rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> Linear:
-    """Adam on the whole sample. slope: from the functions' values to the loss's gradient by each of them."""
-    weights = [model.dense, model.words]
+def fit(model: Linear, sample: Sample, slope: Callable[[np.ndarray, np.ndarray], np.ndarray], rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4, size: int = 1024) -> Linear:
+    """Adam, in each round on a part of the sample; on all of it where it is small.
+
+    slope: from the functions' values at some rows and those rows' numbers, to the gradient by each value of the loss that
+    the rows estimate."""
+    weights, parts = [model.dense, model.words], sample.dealt(size)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, rounds + 1):
-        for k, g in enumerate(model.gradients(sample, slope(model.of(sample)))):
+        rows, part = parts[t % len(parts)]
+        for k, g in enumerate(model.gradients(part, slope(model.of(part), rows))):
             g = g + ridge * weights[k]
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.001 * (g * g - second[k])

@@ -7,15 +7,14 @@ rates are then fitted by projected gradient steps, so that the expected tokens o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alnum_words, checkpointed, free_name, quoted
-from folioscope.llm.features import Linear, bounded, collect_sample, fit
+from folioscope.llm.common import alnum_words, free_name, quoted, stored
+from folioscope.llm.features import Linear, collect_sample, fit
 
 #: Labelled texts of each domain that the classifier is fitted on, about; of more, a hash draws these.
 MOST_LABELLED = 3000
@@ -29,17 +28,21 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit_domains(labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", most: int = MOST_LABELLED) -> Linear:
     """Softmax regression on (id, text, domain). Domains are weighted by how many labelled texts they have, so that
     posteriors follow the labels' shares although a bounded number of each is used. Unknown domains are ignored."""
-    parts, share = [], []
-    for k, domain in enumerate(domains):
-        rows = labelled.where(F.col(domain_col) == domain)
-        share.append(rows.count())
-        parts.append(bounded(rows, most, F.col(f"`{id_col}`").cast("string")).select(F.lit(k).alias("label"), F.col(f"`{text_col}`").alias("text")))
-    sample = collect_sample(reduce(DataFrame.unionByName, parts))
-    total = max(1, sum(share))
+    counts = dict(labelled.where(F.col(domain_col).isin(domains)).groupBy(domain_col).count().collect())
+    share = np.array([counts.get(d, 0) for d in domains])
+    number = F.array_position(F.array(*map(F.lit, domains)), F.col(domain_col)).cast("int")
+    chance = F.array(*[F.lit(min(1.0, most / max(1, n))) for n in share.tolist()])
+    draw = F.pmod(F.xxhash64(F.lit(77), F.col(f"`{id_col}`").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = labelled.select(number.alias("number"), draw.alias("draw"), F.col(f"`{text_col}`").alias("text")).where("number > 0")
+    sample = collect_sample(rows.where(F.col("draw") < F.element_at(chance, F.col("number"))).select((F.col("number") - 1).alias("label"), "text"))
     here = np.maximum(1, np.bincount(sample.label, minlength=len(domains)))
-    weight = (np.array(share) / total / here)[sample.label][:, None]
+    weight = (share / max(1, share.sum()) / here)[sample.label][:, None]
     wanted = np.eye(len(domains))[sample.label]
-    return fit(Linear.zero(len(domains), sample), sample, lambda values: weight * (_softmax(values) - wanted))
+
+    def slope(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return len(sample) / max(1, len(at)) * weight[at] * (_softmax(values) - wanted[at])
+
+    return fit(Linear.zero(len(domains), sample), sample, slope)
 
 
 _POSTERIORS = pa.schema([("rid", pa.int64()), ("n_tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
@@ -122,7 +125,7 @@ def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], tot
     """
     domains = list(weights)
     model = fit_domains(labelled, domains, id_col, text_col, domain_col)
-    members = checkpointed(domain_posteriors(docs, model, id_col, text_col))
+    members = stored(domain_posteriors(docs, model, id_col, text_col), "members")
     return fit_rates(members, list(weights.values()), total, total_factor, least_rate)[0]
 
 

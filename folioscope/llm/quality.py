@@ -41,13 +41,12 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
 
 
 def fit_nnpu(sample: Sample, prior: float, rounds: int = 200) -> Linear:
-    """sample's labels: 1 positive, 0 unlabelled. Logistic loss; where the estimated risk of the negatives goes below
+    """sample's labels: 1 positive, 0 unlabelled. Logistic loss; where a part's estimate of the negatives' risk goes below
     zero, the step goes back up it."""
-    is_p = sample.label == 1
-    n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
 
-    def slope(values: np.ndarray) -> np.ndarray:
-        g = values[:, 0]
+    def slope(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        g, is_p = values[:, 0], sample.label[rows] == 1
+        n_p, n_u = max(1, is_p.sum()), max(1, (~is_p).sum())
         up = _sigmoid(g)  # the gradient of log(1 + exp(g)), the loss of calling g positive
         soft = np.logaddexp(0, g)
         negative = soft[~is_p].sum() / n_u - prior * soft[is_p].sum() / n_p

@@ -116,6 +116,14 @@ def test_sample_part():
     assert part.row.tolist() == [0, 1, 1] and part.index.tolist() == [1, 2, 3]
 
 
+def test_sample_is_dealt_whole():
+    s = Sample(np.arange(5 * 18).reshape(5, 18), np.arange(5, dtype=np.int32), np.ones(5, np.float32), np.arange(5), np.arange(5))
+    parts = s.dealt(2)
+    assert sorted(np.concatenate([rows for rows, _ in parts]).tolist()) == [0, 1, 2, 3, 4]
+    assert all(len(rows) <= 2 and part.label.tolist() == rows.tolist() == part.index.tolist() for rows, part in parts)
+    assert [len(part) for _, part in s.part(s.label > 9).dealt(2)] == [0]
+
+
 def test_archive_round_trip(spark, sf, tmp_path):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     rows = [tuple(r) for r in pages.collect()]
