@@ -30,11 +30,15 @@ def fit_domains(labelled: DataFrame, domains: list[str], id_col: str = "doc_id",
     posteriors follow the labels' shares although a bounded number of each is used. Unknown domains are ignored."""
     counts = dict(labelled.where(F.col(domain_col).isin(domains)).groupBy(domain_col).count().collect())
     share = np.array([counts.get(d, 0) for d in domains])
+    own, key = free_name(labelled, "drawn_id"), F.col(f"`{id_col}`")
     number = F.array_position(F.array(*map(F.lit, domains)), F.col(domain_col)).cast("int")
     chance = F.array(*[F.lit(min(1.0, most / max(1, n))) for n in share.tolist()])
-    draw = F.pmod(F.xxhash64(F.lit(77), F.col(f"`{id_col}`").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = labelled.select(number.alias("number"), draw.alias("draw"), F.col(f"`{text_col}`").alias("text")).where("number > 0")
-    sample = collect_sample(rows.where(F.col("draw") < F.element_at(chance, F.col("number"))).select((F.col("number") - 1).alias("label"), "text"))
+    draw = F.pmod(F.xxhash64(F.lit(77), key.cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = (number > 0) & (draw < F.element_at(chance, F.greatest(number, F.lit(1))))
+    # Ids first, `most` for each domain or so, so that the other texts stay where they are.
+    ids = labelled.where(chosen).select(key.alias(own)).distinct()
+    rows = labelled.join(F.broadcast(ids), key.eqNullSafe(F.col(own)), "left_semi").where(chosen)
+    sample = collect_sample(rows.select((number - 1).alias("label"), F.col(f"`{text_col}`").alias("text")))
     here = np.maximum(1, np.bincount(sample.label, minlength=len(domains)))
     weight = (share / max(1, share.sum()) / here)[sample.label][:, None]
     wanted = np.eye(len(domains))[sample.label]
