@@ -1,11 +1,12 @@
 """Mixing sources to target weights by soft membership.
 
 A classifier fitted on a labelled table predicts how much of each document belongs to each domain. Nonnegative document
-rates are then fitted by projected gradient steps, so that the expected tokens of the domains meet their targets.
+rates are then fitted by Newton steps on the dual, so that the expected tokens of the domains meet their targets.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from folioscope.llm.features import Linear, collect_sample, fit
 
 #: Labelled texts of each domain that the classifier is fitted on, about; of more, a hash draws these.
 MOST_LABELLED = 3000
+#: What rates far from 1 cost against missed targets, at first and at least.
+FIRST_PENALTY, LAST_PENALTY = 1e-6, 1e-12
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -68,69 +71,99 @@ def domain_posteriors(docs: DataFrame, model: Linear, id_col: str = "doc_id", te
     return rows.mapInArrow(_posteriors(model), "rid long, n_tokens long, posterior array<double>")
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, rounds: int = 20, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
     """(members with `rate`, figures of each domain).
 
     members: (n_tokens, posterior), of any number of rows. The rates r minimise the squared error of the domains' expected
     tokens, the sum of r * n_tokens * posterior, against their targets, weighed by the inverse of the matrix of the
-    posteriors' products (the sum of n_tokens * posterior * posterior'). A domain's target is its weight times `total` tokens (by default total_factor times all tokens), subject to r >= least_rate. Each round sums the domains' tokens
-    over the table, and only 2 k sums come to the driver; a row's rate follows from the rounds' residuals and its own
-    posterior. A target that no rate can meet, of a domain without tokens, is left out.
+    posteriors' products (the sum of n_tokens * posterior * posterior'). A domain's target is its weight times `total` tokens
+    (by default total_factor times all tokens), subject to r >= least_rate. Of the rates that do, those nearest to 1 are taken:
+    a row's rate is 1 plus its posterior's mean of k prices, or least_rate if that is more. The prices are found by Newton
+    steps on the dual, whose penalty is made smaller until the targets are met, or stay missed whatever the penalty. Each
+    round sums the domains' tokens and products over the table, and only k (k + 3) / 2 sums come to the driver. A target that
+    no rate can meet, of a domain without tokens, is left out. Raises if the steps do not settle within `rounds` rounds.
     """
-    k = len(weights)
+    k, first = len(weights), max(1.0, float(least_rate))
     p = [F.element_at("posterior", j + 1) for j in range(k)]
-    gram = [F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-    got = members.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * x) for x in p], *gram).first()
+    products = [F.col("n_tokens") * p[i] * p[j] for i in range(k) for j in range(i, k)]
+
+    def matrix(sums: list) -> np.ndarray:
+        m = np.zeros((k, k))
+        m[np.triu_indices(k)] = [float(x or 0) for x in sums]
+        return m + np.triu(m, 1).T
+
+    got = members.agg(F.sum("n_tokens"), *[F.sum(F.col("n_tokens") * x) for x in p], *map(F.sum, products)).first()
     tokens, at_one = float(got[0] or 0), np.array([float(x or 0) for x in got[1 : k + 1]])
     share = np.array(weights, float) / max(sum(weights), 1e-12)
     target = share * (tokens * total_factor if total is None else total)
-    m, g = np.zeros((k, k)), iter(got[k + 1 :])
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = float(next(g) or 0)
-    # The squared error is weighed by the inverse of m. In the metric that weighs a row's rate by its tokens its slope then
-    # changes by no more than 1, and one whole step would do if no rate met its bound.
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
-    now = ahead = at_one * max(1.0, least_rate)
-    steps: list[tuple[float, np.ndarray]] = []
-    rate: Column = F.lit(float(max(1.0, least_rate)))
-    for t in range(rounds):
-        if not np.any((at_one > 0) & (np.abs(now - target) > tolerance * np.maximum(target, 1e-3 * max(tokens, 1.0)))):
+    # In these coordinates the dual's second derivative is 1 where no rate is at its bound.
+    size, axes = np.linalg.eigh(matrix(got[k + 1 :]))
+    kept = size > 1e-9 * max(size.max(initial=0.0), 1e-300)
+    base = axes[:, kept] / np.sqrt(size[kept])
+    wanted = base.T @ target
+    scale = np.linalg.norm(wanted) + np.linalg.norm(base.T @ at_one)
+
+    def priced(at: np.ndarray) -> Column:
+        return sum((F.lit(float(y)) * x for y, x in zip(base @ at, p, strict=True)), F.lit(first))
+
+    def rates(at: np.ndarray) -> Column:
+        return F.greatest(priced(at), F.lit(float(least_rate)))
+
+    def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' expected tokens, and their derivatives by the prices: only rows above their bound count."""
+        state = F.struct(rates(at).alias("rate"), (priced(at) > float(least_rate)).alias("free"))
+        rows = members.select("n_tokens", "posterior", state.alias("state"))
+        own = [F.sum(F.col("state.rate") * F.col("n_tokens") * x) for x in p]
+        sums = rows.agg(*own, *[F.sum(F.when(F.col("state.free"), x)) for x in products]).first()
+        return np.array([float(x or 0) for x in sums[:k]]), matrix(sums[k:])
+
+    def missed(now: np.ndarray) -> bool:
+        return bool(np.any((at_one > 0) & (np.abs(now - target) > tolerance * np.maximum(target, 1e-3 * max(tokens, 1.0)))))
+
+    at, penalty, left, settled = np.zeros(int(kept.sum())), FIRST_PENALTY, rounds, None
+    now, slope = at_one * first, matrix(got[k + 1 :])
+    while missed(now):
+        off = base.T @ now - wanted + penalty * at
+        if np.linalg.norm(off) <= 1e-4 * tolerance * scale:
+            settled = (at, now)
+            if penalty <= LAST_PENALTY:
+                break
+            penalty *= 1e-3
+            continue
+        step = -np.linalg.solve(base.T @ slope @ base + penalty * np.eye(len(at)), off)
+        down, part = -float(off @ step), 1.0
+        while True:
+            left -= 1
+            ahead = at + part * step
+            now, slope = look(ahead)
+            along = float((base.T @ now - wanted + penalty * ahead) @ step)
+            if along <= down / 2 or left <= 0:  # else too far: back to where the line between both slopes is 0
+                break
+            part *= down / (down + along)
+        at = ahead
+        if left <= 0 and missed(now):
+            if settled is None:
+                raise RuntimeError(f"rates did not settle in {rounds} rounds")
+            at, now = settled  # the targets cannot be met; a smaller penalty is beyond the sums' precision
             break
-        steps.append((t / (t + 3), inverse @ np.where(at_one > 0, ahead - target, 0.0)))
-        state = after_steps(steps, p, least_rate)
-        rate = state["rate"]
-        sums = [F.sum(F.col(f"state.{x}") * F.col("n_tokens") * y) for x in ("rate", "ahead") for y in p]
-        both = np.array([float(x or 0) for x in members.select("n_tokens", "posterior", state.alias("state")).agg(*sums).first()])
-        now, ahead = both[:k], both[k:]
     figures = [{"tokens": float(a), "target": float(t), "expected": float(x)} for a, t, x in zip(at_one, target, now, strict=True)]
-    return members.withColumn("rate", rate), figures
-
-
-def after_steps(steps: list[tuple[float, np.ndarray]], p: list[Column], least_rate: float) -> Column:
-    """struct<rate, ahead> of a row after all steps. A step goes from the point ahead, takes off the posterior's mean of its
-    residuals, and is projected; the point ahead then is the new rate carried on by the step's momentum (Nesterov)."""
-    rows = F.array(*[F.struct(F.lit(float(beta)).alias("beta"), F.array(*[F.lit(float(x)) for x in step]).alias("by")) for beta, step in steps])
-    own, first = F.array(*p), F.lit(max(1.0, float(least_rate)))
-
-    def step(acc: Column, s: Column) -> Column:
-        move = F.aggregate(F.zip_with(s["by"], own, lambda a, b: a * b), F.lit(0.0), lambda total, x: total + x)
-        rate = F.greatest(acc["ahead"] - move, F.lit(float(least_rate)))
-        return F.struct(rate.alias("rate"), (rate + s["beta"] * (rate - acc["rate"])).alias("ahead"))
-
-    return F.aggregate(rows, F.struct(first.alias("rate"), first.alias("ahead")), step)
+    return members.withColumn("rate", rates(at)), figures
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """(rid, n_tokens, posterior, rate), a row for each row of docs; posteriors in the order of `weights`.
 
     Null and empty texts have no tokens and still a posterior and rate. Repeated rows get the same rate; null ids stay.
-    Without labelled rows posteriors are even. An empty table gives no rows.
+    Without labelled rows posteriors are even. An empty table gives no rows. Warns of domains whose target is missed.
     """
     domains = list(weights)
     model = fit_domains(labelled, domains, id_col, text_col, domain_col)
     members = stored(domain_posteriors(docs, model, id_col, text_col), "members")
-    return fit_rates(members, list(weights.values()), total, total_factor, least_rate)[0]
+    rated, figures = fit_rates(members, list(weights.values()), total, total_factor, least_rate)
+    for name, x in zip(domains, figures, strict=True):
+        if abs(x["expected"] - x["target"]) > 0.01 * x["target"]:
+            warnings.warn(f"mixture: {name} has {x['expected']:.0f} expected tokens, its target is {x['target']:.0f}", stacklevel=2)
+    return rated
 
 
 def copies(rate: Column, key: Column, seed: int = 3) -> Column:

@@ -83,6 +83,22 @@ def test_rates_are_projected(spark):
     assert slope[out["rate"] == 0].min() > -0.02 and np.abs(slope[out["rate"] > 1e-6]).max() < 0.1
 
 
+@pytest.mark.parametrize("kind", [[0.3, 1.5, 0.2], [0.1, 0.5, 0.07]])
+def test_rates_meet_targets_of_a_dominant_domain(spark, kind):
+    draw = np.random.default_rng(7)
+    rows = [(k, int(draw.integers(1, 800)), draw.dirichlet(kind).tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "rid long, n_tokens long, posterior array<double>").cache()
+    got, figures = mixing.fit_rates(df, [0.9, 0.07, 0.03])
+    out = got.toPandas()
+    expected = (np.stack(out["posterior"]) * (out["rate"] * out["n_tokens"]).to_numpy()[:, None]).sum(0)
+    assert out["rate"].min() >= 0 and np.allclose(expected, np.array([0.9, 0.07, 0.03]) * out["n_tokens"].sum(), rtol=0.01)
+
+
+def test_rates_that_do_not_settle_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(members(spark), [1, 0, 0], 20000.0, rounds=1)
+
+
 def test_mixing_repeats_and_keeps_columns(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("rate", F.lit("x"))
     labelled = queries.domain_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"))
