@@ -13,8 +13,10 @@ from folioscope.llm.queries import DOMAINS, domain_labels, table
 LEAST_SCORE = 0.3
 #: Documents that no text near them repeats less than this are copies, in per cent.
 NEAR_PERCENT = 80
-#: Tokens of the mixture, for each token that comes in. At a rate of 1 or more every document stays.
+#: Tokens of the mixture, for each token that comes in.
 MIX_TOKENS = 1.25
+#: Documents whose posterior clean leads all stay; of others as many as the targets leave room for.
+LEAST_RATES = {"clean": 1.0}
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +41,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, repeated by its rate: the domains' expected tokens meet their targets as nearly as rates of 1 and
-    more allow."""
+    """Documents, repeated or left out by their rates: the domains' expected tokens meet their targets as nearly as rates of
+    1 and more for clean documents, and of 0 and more for others, allow."""
     labelled = domain_labels(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=1.0)
+    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=LEAST_RATES)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,19 +71,24 @@ def domain_posteriors(docs: DataFrame, model: Linear, id_col: str = "doc_id", te
     return rows.mapInArrow(_posteriors(model), "rid long, n_tokens long, posterior array<double>")
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float | list[float] = 0.0, rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
     """(members with `rate`, figures of each domain).
 
     members: (n_tokens, posterior), of any number of rows. The rates r minimise the squared error of the domains' expected
     tokens, the sum of r * n_tokens * posterior, against their targets, weighed by the inverse of the matrix of the
     posteriors' products (the sum of n_tokens * posterior * posterior'). A domain's target is its weight times `total` tokens
-    (by default total_factor times all tokens), subject to r >= least_rate. Of the rates that do, those nearest to 1 are taken:
-    a row's rate is 1 plus its posterior's mean of k prices, or least_rate if that is more. The prices are found by Newton
+    (by default total_factor times all tokens), subject to r >= least_rate; of a list, a row's least rate is that of the domain
+    that leads its posterior, the first of equal ones. Of the rates that do, those nearest to 1 (to the least rate, if that is
+    more) are taken: that plus the posterior's mean of k prices, or the least rate if that is more. The prices are found by Newton
     steps on the dual, whose penalty is made smaller until the targets are met, or stay missed whatever the penalty. Each
     round sums the domains' tokens and products over the table, and only k (k + 3) / 2 sums come to the driver. A target that
     no rate can meet, of a domain without tokens, is left out. Raises if the steps do not settle within `rounds` rounds.
     """
-    k, first = len(weights), max(1.0, float(least_rate))
+    k = len(weights)
+    leasts = [float(x) for x in least_rate] if isinstance(least_rate, list) else [float(least_rate)] * k
+    leads = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    least = F.lit(leasts[0]) if len(set(leasts)) == 1 else F.element_at(F.array(*map(F.lit, leasts)), leads)
+    first = F.greatest(F.lit(1.0), least)
     p = [F.element_at("posterior", j + 1) for j in range(k)]
     products = [F.col("n_tokens") * p[i] * p[j] for i in range(k) for j in range(i, k)]
 
@@ -104,14 +109,14 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     scale = np.linalg.norm(wanted) + np.linalg.norm(base.T @ at_one)
 
     def priced(at: np.ndarray) -> Column:
-        return sum((F.lit(float(y)) * x for y, x in zip(base @ at, p, strict=True)), F.lit(first))
+        return sum((F.lit(float(y)) * x for y, x in zip(base @ at, p, strict=True)), first)
 
     def rates(at: np.ndarray) -> Column:
-        return F.greatest(priced(at), F.lit(float(least_rate)))
+        return F.greatest(priced(at), least)
 
     def look(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The domains' expected tokens, and their derivatives by the prices: only rows above their bound count."""
-        state = F.struct(rates(at).alias("rate"), (priced(at) > float(least_rate)).alias("free"))
+        state = F.struct(rates(at).alias("rate"), (priced(at) > least).alias("free"))
         rows = members.select("n_tokens", "posterior", state.alias("state"))
         own = [F.sum(F.col("state.rate") * F.col("n_tokens") * x) for x in p]
         sums = rows.agg(*own, *[F.sum(F.when(F.col("state.free"), x)) for x in products]).first()
@@ -121,7 +126,7 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
         return bool(np.any((at_one > 0) & (np.abs(now - target) > tolerance * np.maximum(target, 1e-3 * max(tokens, 1.0)))))
 
     at, penalty, left, settled = np.zeros(int(kept.sum())), FIRST_PENALTY, rounds, None
-    now, slope = at_one * first, matrix(got[k + 1 :])
+    now, slope = look(at)
     while missed(now):
         off = base.T @ now - wanted + penalty * at
         if np.linalg.norm(off) <= 1e-4 * tolerance * scale:
@@ -150,16 +155,18 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     return members.withColumn("rate", rates(at)), figures
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, total_factor: float = 1.0, least_rate: float = 0.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
+def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, total_factor: float = 1.0, least_rate: float | dict[str, float] = 0.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """(rid, n_tokens, posterior, rate), a row for each row of docs; posteriors in the order of `weights`.
 
     Null and empty texts have no tokens and still a posterior and rate. Repeated rows get the same rate; null ids stay.
-    Without labelled rows posteriors are even. An empty table gives no rows. Warns of domains whose target is missed.
+    Without labelled rows posteriors are even. An empty table gives no rows. least_rate may name a
+    least rate for the rows that each domain leads, 0 for others. Warns of domains whose target is missed.
     """
     domains = list(weights)
     model = fit_domains(labelled, domains, id_col, text_col, domain_col)
     members = stored(domain_posteriors(docs, model, id_col, text_col), "members")
-    rated, figures = fit_rates(members, list(weights.values()), total, total_factor, least_rate)
+    least = [least_rate.get(d, 0.0) for d in domains] if isinstance(least_rate, dict) else least_rate
+    rated, figures = fit_rates(members, list(weights.values()), total, total_factor, least)
     for name, x in zip(domains, figures, strict=True):
         if abs(x["expected"] - x["target"]) > 0.01 * x["target"]:
             warnings.warn(f"mixture: {name} has {x['expected']:.0f} expected tokens, its target is {x['target']:.0f}", stacklevel=2)
