@@ -52,11 +52,12 @@ def word_occ(spark: SparkSession, sf: str) -> DataFrame:
     return part.select(F.lit("parts").alias("book_id"), "term", "page_idx", (F.col("page_idx") + 1).cast("string").alias("page_label")).distinct()
 
 
-def form_occ(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts' names and types with their first two words and each word, on the parts' keys as pages where that form is."""
+def form_occ(spark: SparkSession, sf: str, whole: bool = False) -> DataFrame:
+    """Parts' names and types with their first two words and each word, on the parts' keys as pages where that form is. Unless
+    it is the whole table, some are left out by their key, as in the SQL of name_groups and name_group_pages."""
     part = spark.read.parquet(f"{sf}/part.parquet")
     forms = [F.array(c, F.substring_index(c, " ", 2)) for c in ("p_name", "p_type")] + [F.split(c, " ") for c in ("p_name", "p_type")]
-    each = part.select(F.posexplode(F.concat(*forms)).alias("at", "term"), F.col("p_partkey").cast("int").alias("page_idx")).where("page_idx % 7 <> at")
+    each = part.select(F.posexplode(F.concat(*forms)).alias("at", "term"), F.col("p_partkey").cast("int").alias("page_idx")).where("true" if whole else "page_idx % 7 <> at")
     return each.select(F.lit("parts").alias("book_id"), "term", "page_idx", (F.col("page_idx") + 1).cast("string").alias("page_label")).distinct()
 
 
@@ -125,6 +126,8 @@ QUERIES: dict[str, Query] = {
     "suppressed_index": lambda s, d: index.suppress_covered(word_occ(s, d)).select("term", "page_idx"),
     "name_groups": lambda s, d: consolidate.name_groups(terms_of(form_occ(s, d))).select("term", "longest_form"),
     "name_group_pages": lambda s, d: consolidate.group_pages(form_occ(s, d), consolidate.name_groups(terms_of(form_occ(s, d)))).select("longest_form", "term", "page_idx", "page_label"),
+    "name_groups_whole": lambda s, d: consolidate.name_groups(terms_of(form_occ(s, d, whole=True))).select("term", "longest_form"),
+    "name_group_pages_whole": lambda s, d: consolidate.group_pages(form_occ(s, d, whole=True), consolidate.name_groups(terms_of(form_occ(s, d, whole=True)))).select("longest_form", "term", "page_idx", "page_label"),
     "merge_suggestions": flat_suggestions,
     "merge_pending": q_pending,
     "merge_undo": q_merge_undo,
@@ -220,3 +223,6 @@ from occ join groups using (term) where term = longest_form or (longest_form, pa
     "terms_on_page": f"with occ as ({_hits_sql()}) select distinct term from occ where page_idx = 7",
     "phrase_count": "select sum(len(regexp_extract_all(text, '(?i)que')))::bigint as matches from documents",
 }
+
+#: The same over every occurrence of a form.
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(" where page_idx % 7 <> k", "") for name in ("name_groups", "name_group_pages")}
