@@ -69,23 +69,39 @@ def _united(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(rows["book_id"].iloc[0], x, find(x)) for x in sorted(root)], columns=["book_id", "term", "cluster"])
 
 
-def similar_clusters(pairs: DataFrame, bounded: bool = False) -> DataFrame:
+def similar_clusters(pairs: DataFrame, bounded: bool = False, rounds: int = 60) -> DataFrame:
     """(book_id, term, cluster): the smallest term that each of a pair is connected with.
 
-    bounded: the pairs come from books of at most MOST_SIMILAR entries, and a book is done in one group. Else rounds of
-    minima go on until none changes.
+    bounded: the pairs come from books of at most MOST_SIMILAR entries, and a book is done in one group. Else large-star
+    and small-star steps (Kiveris et al. 2014) go on until no edge changes; an error if they do not settle within `rounds`.
     """
     if bounded:
         return pairs.select("book_id", "a", "b").groupBy("book_id").applyInPandas(_united, "book_id string, term string, cluster string")
-    both = pairs.select("book_id", "a", "b").unionByName(pairs.select("book_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().cache()
-    label = both.select("book_id", F.col("a").alias("term")).distinct().withColumn("cluster", F.col("term"))
-    for _ in range(50):
-        seen = both.join(label.select("book_id", F.col("term").alias("b"), "cluster"), ["book_id", "b"]).groupBy("book_id", "a").agg(F.min("cluster").alias("m"))
-        new = label.join(seen.withColumnRenamed("a", "term"), ["book_id", "term"]).select("book_id", "term", F.least("cluster", "m").alias("cluster"), (F.col("m") < F.col("cluster")).alias("moved")).cache()
-        label = new.drop("moved")
-        if not new.where("moved").take(1):
-            break
-    return label
+    node = lambda c: F.struct("book_id", F.col(c).alias("term"))
+    now = _cut(pairs.where("a <> b").select(node("a").alias("u"), node("b").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    last = None
+    for _ in range(rounds):
+        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if state == last or state[0] == 0:
+            ends = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), "v")).distinct()
+            return ends.select("u.book_id", "u.term", F.col("v.term").alias("cluster"))
+        last = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = _cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: a checkpoint in the session's folder for them, or where it has none with the executors."""
+    spark = df.sparkSession
+    context, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if found and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(found)
+    return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
 
 
 def overlapping(terms: DataFrame) -> DataFrame:
@@ -164,13 +180,13 @@ def acronyms(terms: DataFrame) -> DataFrame:
 
 
 def summary(occ: DataFrame, keywords: DataFrame, most: int = 1, least: int = 20, reports: tuple[str, ...] = REPORTS) -> DataFrame:
-    """(report_id, findings): how many each chosen report has."""
+    """(report_id, findings): how many each chosen report has, whatever the size of the books."""
     from folioscope.operators.index import nested
 
     terms, index = occ.select("book_id", "term").distinct(), nested(occ)
     makers = {
-        "similar_terms": lambda: similar_clusters(similar_pairs(terms), bounded=True).select("book_id", "cluster").distinct(), "overlapping_terms": lambda: overlapping(terms),
+        "similar_terms": lambda: similar_clusters(similar_pairs(terms, None)).select("book_id", "cluster").distinct(), "overlapping_terms": lambda: overlapping(terms),
         "capitalization_variants": lambda: capitalization_variants(terms), "formatting_variants": lambda: formatting_variants(terms), "unused_include_terms": lambda: unused_keywords(terms, keywords),
-        "thin_entries": lambda: thin(index, most), "dense_entries": lambda: dense(index, least), "shared_page_sets": lambda: shared_pages(occ), "acronym_pairs": lambda: acronyms(terms),
+        "thin_entries": lambda: thin(index, most), "dense_entries": lambda: dense(index, least), "shared_page_sets": lambda: shared_pages(occ, max_entries=None), "acronym_pairs": lambda: acronyms(terms),
     }
     return reduce(DataFrame.unionByName, [makers[r]().agg(F.count("*").alias("findings")).select(F.lit(r).alias("report_id"), "findings") for r in REPORTS if r in reports])
