@@ -29,10 +29,25 @@ def nfkc_text(value: str) -> str:
     return unicodedata.normalize("NFKC", value)
 
 
+#: Characters that NFKC leaves alone, whatever stands beside them: ASCII, letters of Europe that are one character, Greek and
+#: Cyrillic ones, dashes, quotes, kana, CJK and Hangul. No compatibility forms, and nothing that combines.
+NFKC_STABLE = (
+    r"\x00-\x7F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E\u0391-\u03A1\u03A3-\u03CE\u0400-\u0481\u048A-\u052F"
+    r"\u2010\u2012-\u2015\u2018-\u2023\u2039\u203A\u20AC\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FFF\uAC00-\uD7A3"
+)
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC form; ASCII texts, which it leaves alone, do not leave the JVM."""
+    """NFKC form; texts that it surely leaves alone do not leave the JVM."""
     apply = F.pandas_udf(lambda s: s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x)), T.StringType())
-    return F.when(text.rlike(r"[^\x00-\x7F]"), apply(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    may_change = text.rlike(f"[^{NFKC_STABLE}]")
+    return F.when(may_change, apply(F.when(may_change, text))).otherwise(text)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its edges."""
+    space = r"[\s\x1C-\x1F\x85\p{Z}]+"
+    return F.regexp_replace(text, f"^{space}|{space}$", "")
 
 
 def casefold(text: Column) -> Column:
@@ -63,7 +78,7 @@ def is_footnote_ref(token: Column) -> Column:
 
 
 def strip_possessive(token: Column) -> Column:
-    return F.regexp_replace(token, "['’]s$", "")
+    return F.when(token.endswith("'s") | token.endswith("’s"), F.left(token, F.length(token) - 2)).otherwise(token)
 
 
 def is_all_caps(token: Column) -> Column:
@@ -75,7 +90,7 @@ def is_roman(token: Column) -> Column:
 
 
 def is_number_like(token: Column) -> Column:
-    return token.rlike(r"^\p{Nd}+$") | ((F.length(token) <= 4) & token.rlike(r"\p{Nd}"))
+    return token.rlike(r"\p{Nd}") & ((F.length(token) <= 4) | token.rlike(r"^\p{Nd}+$"))
 
 
 def is_capitalised(token: Column) -> Column:
@@ -89,3 +104,34 @@ def clean_name(name: Column) -> Column:
 
 def upper_first(term: Column) -> Column:
     return F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, 2, 1 << 30))
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of the leftmost non-overlapping matches, in code points; a null text has none.
+
+    The text is split at the matches; the lengths of the pieces and of the matches between them give the places. They are
+    added up in blocks of about as many as there are blocks, so that a text full of matches is not copied for each of
+    them. Texts without a match are not split.
+    """
+    kind = "array<struct<start: int, end: int>>"
+    none = F.array().cast(kind)
+    gaps, lengths = F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
+    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(lengths)).alias("gap"), lengths.alias("length"))
+
+    def cut(of: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(of))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(of), width), lambda i: F.slice(of, i, width))
+
+    def add(acc: Column, pair: Column) -> Column:
+        begin = acc["at"] + pair["gap"]
+        end = begin + pair["length"]
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
+
+    def add_block(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("spans")), add)
+        # By way of an array of one, so that the block is added up once.
+        return F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["spans"], r["spans"]).alias("spans")))[0]
+
+    once = F.transform(F.array(pairs), cut)[0]
+    folded = F.aggregate(once, F.struct(F.lit(0).alias("at"), none.alias("spans")), add_block)["spans"]
+    return F.when(text.rlike(pattern), folded).otherwise(none)

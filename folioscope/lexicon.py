@@ -23,20 +23,22 @@ preface foreword acknowledgements acknowledgments glossary note notes see also i
 
 TITLES = frozenset("dr mr mrs ms prof rev st sir dame lord lady hon sr jr".split())
 
-# Stop words that are in neither of the first two lists.
-_MORE_STOPWORDS = frozenset("""
-i you my your him them us me himself herself itself themselves ourselves having must need ought down out off near around
-against along across behind beyond within without upon toward towards among amongst beside besides though unless until whether
-therefore moreover furthermore nevertheless nonetheless meanwhile consequently subsequently accordingly alternatively
-additionally specifically particularly generally typically essentially basically obviously clearly certainly undoubtedly
-indeed naturally apparently presumably arguably significantly importantly notably interestingly surprisingly unfortunately
-fortunately ultimately eventually initially finally perhaps maybe probably possibly definitely surely much none either neither
-less least already always never sometimes often usually quite rather too today yesterday tomorrow ago why yes one two three
-first second third new old good great last next early late twice again away back long far soon later earlier almost enough
-together alone apart
+# Stop words by default: they cannot begin a name, or be one.
+STOPWORDS = frozenset("""
+the a an he she it we they i you his her its our their my your him them us me himself herself itself themselves ourselves
+this that these those is are was were be been being have has had having do does did will would shall should can could may
+might must need ought in on at to for from by with about into through during before after above below between under over up
+down out off near around against along across behind beyond within without upon toward towards among amongst beside besides
+and but or nor yet so although though because since while when where if unless until whether than however therefore moreover
+furthermore nevertheless nonetheless meanwhile consequently subsequently accordingly alternatively additionally specifically
+particularly generally typically essentially basically obviously clearly certainly undoubtedly indeed naturally apparently
+presumably arguably significantly importantly notably interestingly surprisingly unfortunately fortunately ultimately
+eventually initially finally perhaps maybe probably possibly definitely surely some any many much few several each every all
+both no none other another either neither most more less least such same own only very also just even still already always
+never sometimes often usually quite rather too there here then now today yesterday tomorrow ago how why what which who whom
+whose not yes one two three first second third new old good great last next early late once twice again away back long far
+soon later earlier almost enough together alone apart
 """.split())
-#: Stop words by default: they cannot begin a name, or be one.
-STOPWORDS = (CONNECTORS | SENTENCE_START | _MORE_STOPWORDS) - {"as", "of", "go", "goes", "went"}
 
 # Words that stand in names of places and bodies and are not surnames.
 NOT_PERSONS = frozenset("""

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import upper_first
 
+#: Pages of a block in which runs are found.
+BLOCK = 1 << 16
+
 
 def unite(keyword_occ: DataFrame, name_occ: DataFrame) -> DataFrame:
     """occ of both, one row for each term and page; the keyword's label wins."""
@@ -28,29 +31,50 @@ def nested(occ: DataFrame) -> DataFrame:
     return occ.groupBy("book_id", "term").agg(F.array_sort(F.collect_list(F.struct("page_idx", "page_label"))).alias("pages"))
 
 
-def page_runs(occ: DataFrame) -> DataFrame:
-    """(book_id, term, first_idx, first_label, last_idx, last_label): consecutive pages of a term."""
-    island = F.col("page_idx") - F.row_number().over(Window.partitionBy("book_id", "term").orderBy("page_idx"))
-    return occ.withColumn("island", island).groupBy("book_id", "term", "island").agg(
-        F.min("page_idx").alias("first_idx"), F.min_by("page_label", "page_idx").alias("first_label"), F.max("page_idx").alias("last_idx"), F.max_by("page_label", "page_idx").alias("last_label")
-    ).drop("island")
+def page_counts(index: DataFrame) -> DataFrame:
+    """(book_id, term, n_pages) of occ, of a raw index, or of itself. Pages of occ are counted before the shuffle, not listed."""
+    if "n_pages" in index.columns:
+        return index.select("book_id", "term", "n_pages")
+    if "pages" in index.columns:
+        return index.select("book_id", "term", F.size("pages").alias("n_pages"))
+    return index.groupBy("book_id", "term").agg(F.count("*").cast("int").alias("n_pages"))
+
+
+def page_runs(occ: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(book_id, term, first_idx, first_label, last_idx, last_label): consecutive pages of a term.
+
+    Runs are found in blocks of pages, so that a term of very many pages goes to several tasks; only runs that touch a
+    block's border are then stitched together.
+    """
+    ends = [F.min("first_idx").alias("first_idx"), F.min_by("first_label", "first_idx").alias("first_label"), F.max("last_idx").alias("last_idx"), F.max_by("last_label", "last_idx").alias("last_label")]
+    island = F.col("page_idx") - F.row_number().over(Window.partitionBy("book_id", "term", "block").orderBy("page_idx"))
+    placed = occ.withColumn("block", F.expr(f"page_idx div {int(block)}")).withColumn("island", island)
+    each = placed.select("book_id", "term", "block", "island", *[F.col(c).alias(f"{e}_{n}") for e in ("first", "last") for c, n in (("page_idx", "idx"), ("page_label", "label"))])
+    runs = each.groupBy("book_id", "term", "block", "island").agg(*ends)
+    border = (F.col("first_idx") % block == 0) | (F.col("last_idx") % block == block - 1)
+    in_order = Window.partitionBy("book_id", "term").orderBy("first_idx")
+    opens = F.coalesce(F.lag("last_idx").over(in_order) != F.col("first_idx") - 1, F.lit(True))
+    edge = runs.where(border).withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(in_order))
+    names = ["book_id", "term", "first_idx", "first_label", "last_idx", "last_label"]
+    return runs.where(~border).select(*names).unionByName(edge.groupBy("book_id", "term", "run").agg(*ends).select(*names))
 
 
 def formatted(occ: DataFrame, capitalize: bool = False, merge_on_collision: bool = False) -> DataFrame:
     """(book_id, display_term, pages): runs as `first-last`, joined by commas.
 
-    Capitalised terms that then meet: the last in the order of lower case and spelling stands alone, or with
-    merge_on_collision their pages unite.
+    Capitalised terms that then meet: the one that came last into the index (by its first page, then by `ord` if occ has
+    it, then by spelling) stands alone, or with merge_on_collision their pages unite.
     """
     shown = upper_first(F.col("term")) if capitalize else F.col("term")
     if capitalize and merge_on_collision:
         return formatted(occ.withColumn("term", shown).groupBy("book_id", "term", "page_idx").agg(F.min("page_label").alias("page_label")))
+    if capitalize:
+        first = occ.groupBy("book_id", "term").agg(F.min("page_idx").alias("came"), F.min("ord" if "ord" in occ.columns else F.lit(0)).alias("ord"))
+        last = first.groupBy("book_id", shown.alias("shown")).agg(F.max_by("term", F.struct("came", "ord", "term")).alias("term"))
+        occ = occ.join(last, ["book_id", "term"], "left_semi")
     label = F.when(F.col("first_idx") == F.col("last_idx"), F.col("first_label")).otherwise(F.concat_ws("-", "first_label", "last_label"))
     runs = page_runs(occ).groupBy("book_id", "term").agg(F.array_sort(F.collect_list(F.struct("first_idx", label.alias("label")))).alias("runs"))
-    lines = runs.select("book_id", "term", shown.alias("display_term"), F.array_join(F.transform("runs", lambda r: r["label"]), ", ").alias("pages"))
-    if capitalize:
-        lines = lines.groupBy("book_id", "display_term").agg(F.max_by("pages", F.struct(F.lower("term"), "term")).alias("pages"))
-    return lines.select("book_id", "display_term", "pages")
+    return runs.select("book_id", shown.alias("display_term"), F.array_join(F.transform("runs", lambda r: r["label"]), ", ").alias("pages"))
 
 
 def ordered(lines: DataFrame) -> DataFrame:

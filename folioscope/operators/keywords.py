@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.config import IndexConfig
-from folioscope.functions.text import keyword_pattern, nfkc, nfkc_text
+from folioscope.functions.text import keyword_pattern, nfkc, nfkc_text, stripped
 from folioscope.sources.tables import labelled_pages
 
 #: Patterns that are tried in one projection; longer lists are matched in several.
@@ -27,11 +27,16 @@ def normalised(keywords: list[str]) -> list[tuple[str, str]]:
 def keyword_hits(pages: DataFrame, keywords: list[str], config: IndexConfig | None = None) -> DataFrame:
     """occ(book_id, term, page_idx, page_label, ord): each keyword once for each page that has it. No shuffle."""
     config = config or IndexConfig()
-    own = labelled_pages(pages, config).withColumn("text", nfkc(F.coalesce("text", F.lit(""))))
+    own = labelled_pages(pages, config).withColumn("text", nfkc(F.coalesce("text", F.lit("")))).withColumn("low", F.translate(F.lower("text"), "ı", "i"))
     names = normalised(keywords)
 
+    def has(form: str) -> Column:
+        found = F.col("text").rlike(keyword_pattern(form))
+        # A dotless i is the only letter that matches one of ASCII and does not become it in lower case.
+        return F.col("low").contains(form.lower()) & found if form.isascii() else found
+
     def some(begin: int) -> DataFrame:
-        found = [F.when(F.col("text").rlike(keyword_pattern(form)), F.struct(F.lit(begin + k).alias("ord"), F.lit(spelling).alias("term"))) for k, (spelling, form) in enumerate(names[begin : begin + PATTERNS])]
+        found = [F.when(has(form), F.struct(F.lit(begin + k).alias("ord"), F.lit(spelling).alias("term"))) for k, (spelling, form) in enumerate(names[begin : begin + PATTERNS])]
         hits = own.select("book_id", "page_idx", "page_label", F.explode(F.array_compact(F.array(*found))).alias("hit"))
         return hits.select("book_id", F.col("hit.term").alias("term"), "page_idx", "page_label", F.col("hit.ord").alias("ord"))
 
@@ -42,16 +47,19 @@ def keyword_hits(pages: DataFrame, keywords: list[str], config: IndexConfig | No
 
 def sort_and_dedup(words: DataFrame) -> DataFrame:
     """(ord, word): of words alike but for case the first spelling, sorted by lower case. words: (ord, word)."""
-    trimmed = words.select("ord", F.trim("word").alias("word")).where(F.length("word") > 0)
+    trimmed = words.select("ord", stripped(F.col("word")).alias("word")).where(F.length("word") > 0)
     first = F.row_number().over(Window.partitionBy(F.lower("word")).orderBy("ord"))
     kept = trimmed.withColumn("nth", first).where("nth = 1")
     return kept.select("word", F.lower("word").alias("key")).orderBy("key").select("word")
 
 
 def add_if_absent(words: DataFrame, more: DataFrame) -> DataFrame:
-    """words (word) with those of more that it does not have in any case."""
-    fresh = more.select(F.trim("word").alias("word")).where(F.length("word") > 0).dropDuplicates(["word"])
-    return words.select("word").unionByName(fresh.join(words.select(F.lower("word").alias("l")), F.lower(fresh["word"]) == F.col("l"), "left_anti"))
+    """words (word) with those of more that it does not have in any case. more: (word), or (ord, word); of those alike but for
+    case the first spelling is added, by ord, else the smallest."""
+    order = F.struct("ord", "word") if "ord" in more.columns else F.struct("word")
+    fresh = more.withColumn("word", stripped(F.col("word"))).where(F.length("word") > 0).groupBy(F.lower("word").alias("key")).agg(F.min_by("word", order).alias("word"))
+    known = words.select(F.lower("word").alias("key")).distinct()
+    return words.select("word").unionByName(fresh.join(known, "key", "left_anti").select("word"))
 
 
 def from_selection(selection: str) -> str:

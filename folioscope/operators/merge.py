@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import word_tokens
+from folioscope.operators.index import page_counts
 
 
 def contained_pairs(terms: DataFrame) -> DataFrame:
@@ -24,13 +28,12 @@ def contained_pairs(terms: DataFrame) -> DataFrame:
 
 
 def merge_suggestions(index: DataFrame) -> DataFrame:
-    """(book_id, source, source_pages, containers array<struct<entry, pages>>, target, target_pages) of a nested index.
+    """(book_id, source, source_pages, containers array<struct<entry, pages>>, target, target_pages) of an index (occ, a raw
+    index, or their page counts).
 
     A source's words are all in each container: strictly fewer, or the same words with the source inside as a whole."""
-    size = index.select("book_id", "term", F.size("pages").alias("pages"))
-    word = r"[\p{L}\p{N}_]"
+    size = page_counts(index).withColumnRenamed("n_pages", "pages")
     inside = F.concat(F.lit(" "), F.regexp_replace(F.lower("b"), rf"[^\p{{L}}\p{{N}}_]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace(F.lower("a"), rf"[^\p{{L}}\p{{N}}_]", " "), F.lit(" "))) & F.lower("b").contains(F.lower("a"))
-    del word
     pairs = contained_pairs(size).where((F.size("wa") < F.size("wb")) | inside)
     joined = pairs.join(size.select("book_id", F.col("term").alias("b"), F.col("pages").alias("pages_b")), ["book_id", "b"])
     entry = F.struct((-F.length("b")).alias("order"), F.lower("b").alias("low"), F.col("b").alias("entry"), F.col("pages_b").alias("pages"))
@@ -57,17 +60,18 @@ def resolve(merges: list[tuple[str, str]], present: set[str]) -> dict[str, tuple
 def apply_merges(occ: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     """occ with sources' pages given to their targets; of a page's labels the target's wins, then the earlier source's.
 
-    Only the terms that the user's list names are looked up on the driver. All books share the list.
+    All books share the list. Each book resolves it by the listed terms that it has, where its row is.
     """
     named = sorted({x for pair in merges for x in pair})
-    out = []
-    present: dict[str, set[str]] = {}
-    for book, term in occ.where(F.col("term").isin(named)).select("book_id", "term").distinct().collect() if named else []:
-        present.setdefault(book, set()).add(term)
-    for book, terms in present.items():
-        out += [(book, s, t, o) for s, (t, o) in resolve(merges, terms).items()]
-    mapped = occ.sparkSession.createDataFrame(out, "book_id string, term string, target string, rank int")
-    moved = occ.join(F.broadcast(mapped), ["book_id", "term"], "left")
+    own = occ.where(F.col("term").isin(*named) if named else F.lit(False)).groupBy("book_id").agg(F.collect_set("term").alias("present"))
+
+    def resolved(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(book, s, t, o) for book, present in zip(part["book_id"], part["present"], strict=True) for s, (t, o) in resolve(merges, set(present)).items()]
+            yield pd.DataFrame(rows, columns=["book_id", "term", "target", "rank"])
+
+    mapped = own.mapInPandas(resolved, "book_id string, term string, target string, rank int")
+    moved = occ.join(mapped, ["book_id", "term"], "left")
     target = moved.select("book_id", F.coalesce("target", "term").alias("term"), "page_idx", "page_label", F.coalesce("rank", F.lit(0)).alias("rank"))
     return target.groupBy("book_id", "term", "page_idx").agg(F.min_by("page_label", "rank").alias("page_label"))
 
@@ -77,9 +81,20 @@ def pending(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
     return suggestions.join(decisions.select("source"), "source", "left_anti").select(*suggestions.columns)
 
 
-def decided(suggestions: DataFrame, decisions: DataFrame) -> DataFrame:
-    """All decisions, with the suggestion's page count where the source is still in the index."""
-    return decisions.join(suggestions.select("source", "source_pages"), "source", "left")
+def decided(suggestions: DataFrame, decisions: DataFrame, index: DataFrame) -> DataFrame:
+    """The suggestions that are decided, with their decision, and merges whose source is no longer in the index.
+
+    decisions: (source, decision, target, and, for merges, n_pages: how many pages the source had). A merged-away source
+    has its target as its only container, in each book that has it (a null book if none has). index: occ, a raw index, or their page counts. Decisions to keep apart of what is
+    suggested no more are left out."""
+    known = suggestions.join(decisions.select("source", "decision"), "source").select(*suggestions.columns, "decision")
+    counts = page_counts(index)
+    pages = F.col("n_pages").cast("int") if "n_pages" in decisions.columns else F.lit(0)
+    gone = decisions.where("decision = 'merged'").select("source", "target", pages.alias("source_pages")).join(counts.select(F.col("term").alias("source")).distinct(), "source", "left_anti")
+    target = gone.join(counts.select("book_id", F.col("term").alias("target"), F.col("n_pages").alias("target_pages")), "target", "left")
+    size = F.coalesce("target_pages", F.lit(0))
+    rows = target.select("book_id", "source", "source_pages", F.array(F.struct(F.col("target").alias("entry"), size.alias("pages"))).alias("containers"), "target", size.alias("target_pages"), F.lit("merged").alias("decision"))
+    return known.unionByName(rows.select(*known.columns))
 
 
 def keep_separate(decisions: DataFrame, source: str, target: str) -> DataFrame:

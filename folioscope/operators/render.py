@@ -48,25 +48,52 @@ def active_lines(occ: DataFrame, capitalize: bool = False) -> DataFrame:
     return runs.select("book_id", F.col("term").alias("display_term"), F.concat(F.lit("<div><b>"), shown, F.lit("</b>: "), joined, F.lit("</div>")).alias("line"))
 
 
+#: The style of links in the active index.
+LINK_STYLE = "<html><head><style>a { text-decoration: none; color: blue; } a:hover { text-decoration: underline; }</style></head>"
+
+
 def heading(count: int, kind: str) -> str:
-    return {"markdown": f"# Index ({count} entries)\n", "text": f"Index ({count} entries)\n", "html": f"<html><body><h1>Index ({count} entries)</h1>"}[kind]
+    return {"active": f"{LINK_STYLE}<body><h1>Active Index ({count} entries)</h1>", "markdown": f"# Index ({count} entries)\n", "text": f"Index ({count} entries)\n", "html": f"<html><body><h1>Index ({count} entries)</h1>"}[kind]
 
 
 def write_lines(lines: DataFrame, path: str, kind: str) -> None:
     """The heading and then the lines in order, as text files; a range sort, so no task has all lines."""
     top = lines.sparkSession.createDataFrame([(-1, "", heading(lines.count(), kind))], "k int, s string, value string")
-    end = lines.sparkSession.createDataFrame([(1, "", "</body></html>")] if kind == "html" else [], "k int, s string, value string")
+    end = lines.sparkSession.createDataFrame([(1, "", "</body></html>")] if kind in ("html", "active") else [], "k int, s string, value string")
     body = lines.select(F.lit(0).alias("k"), F.lower("display_term").alias("s"), F.col("line").alias("value"))
     top.unionByName(body).unionByName(end).orderBy("k", "s", "value").select("value").write.text(path)
 
 
+def json_lines(index: DataFrame) -> DataFrame:
+    """(book_id, term, line): an entry of a raw index as a member of the index's JSON object, its pages as pairs of place and
+    label, two spaces to a level, other characters than ASCII escaped."""
+
+    def string(value: Column) -> Column:
+        # to_json escapes what JSON must; characters beyond ASCII are then written by their UTF-16 units.
+        quoted = F.substring(F.to_json(F.struct(value.alias("x"))), 6, 1 << 30)
+        plain = F.regexp_replace(quoted, r"\}$", "")
+        units = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")))
+        return F.when(plain.rlike(r"[^\x00-\x7F]"), F.array_join(units, "")).otherwise(plain)
+
+    pair = F.transform("pages", lambda p: F.concat(F.lit("    [\n      "), p["page_idx"].cast("string"), F.lit(",\n      "), string(p["page_label"]), F.lit("\n    ]")))
+    return index.select("book_id", "term", F.concat(F.lit("  "), string(F.col("term")), F.lit(": [\n"), F.array_join(pair, ",\n"), F.lit("\n  ]")).alias("line"))
+
+
 def write_json(index: DataFrame, path: str) -> None:
-    index.write.json(path)
+    """The raw index of each book as one JSON object {term: [[place, label], ...]}: a folder for each book, whose text files in
+    their order are the object. Entries go by their first page and spelling."""
+    rows = json_lines(index).join(index.select("book_id", "term", F.col("pages")[0]["page_idx"].alias("first")), ["book_id", "term"])
+    ends = rows.groupBy("book_id").agg(F.max(F.struct("first", "term")).alias("last")).select("book_id", "last.first", "last.term")
+    last = rows.join(ends.withColumn("is_last", F.lit(True)), ["book_id", "first", "term"], "left")
+    body = last.select("book_id", F.lit(1).alias("k"), "first", "term", F.concat("line", F.when(F.col("is_last"), "").otherwise(",")).alias("value"))
+    frame = ends.select("book_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("{").alias("value")), F.struct(F.lit(2).alias("k"), F.lit("}").alias("value")))).alias("f"))
+    outer = frame.select("book_id", F.col("f.k").alias("k"), F.lit(0).alias("first"), F.lit("").alias("term"), F.col("f.value").alias("value"))
+    body.unionByName(outer).orderBy("book_id", "k", "first", "term").select("book_id", "value").write.partitionBy("book_id").text(path)
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:
-    """(report_id, key, html) of findings (report_id, key, terms, note): escaped."""
-    return findings.select("report_id", "key", F.concat(F.lit("<p>"), escaped(F.col("terms")), F.when(F.col("note") != "", F.concat(F.lit(" ("), escaped(F.col("note")), F.lit(")"))).otherwise(""), F.lit("</p>")).alias("html"))
+    """(report_id, key, html) of reports.findings: escaped, terms joined by `; `."""
+    return findings.select("report_id", "key", F.concat(F.lit("<p>"), escaped(F.array_join("terms", "; ")), F.when(F.col("note") != "", F.concat(F.lit(" ("), escaped(F.col("note")), F.lit(")"))).otherwise(""), F.lit("</p>")).alias("html"))
 
 
 def report_links(index: DataFrame) -> DataFrame:

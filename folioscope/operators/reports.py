@@ -1,27 +1,34 @@
-"""Nine reports on an index's quality. Findings: (report_id, book_id, key, terms, note); terms are joined by `; `."""
+"""Nine reports on an index's quality, each as its own relation, and `findings` of them all as one."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import lexicon
 from folioscope.functions.text import W, casefold, word_tokens
+from folioscope.operators.graph import components
+from folioscope.operators.index import page_counts
 from folioscope.operators.merge import contained_pairs
 
 REPORTS = ("similar_terms", "overlapping_terms", "capitalization_variants", "formatting_variants", "unused_include_terms", "thin_entries", "dense_entries", "shared_page_sets", "acronym_pairs")
 MOST_SIMILAR, MOST_SHARED = 600, 2000
 
 
-def _subset(a: str, b: str) -> Column:
-    """All words of one are among the other's."""
+def _subset(a: str | Column, b: str | Column) -> Column:
+    """All words of one are among the other's; so are no words."""
     both_none = (F.size(a) == 0) | (F.size(b) == 0)
     return both_none | (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
 
 
+def _books(terms: DataFrame, most: int | None, over: bool = False) -> DataFrame:
+    """book_id of the books of at most `most` entries, or of those over it."""
+    counts = terms.groupBy("book_id").agg(F.countDistinct("term").alias("n"))
+    return counts.where(F.lit(False) if most is None else (F.col("n") > most if over else F.col("n") <= most)).select("book_id")
+
+
 def similar_pairs(terms: DataFrame, max_entries: int | None = MOST_SIMILAR) -> DataFrame:
     """(book_id, a, b): spellings at most three edits apart, neither's words all among the other's.
 
@@ -30,8 +37,7 @@ def similar_pairs(terms: DataFrame, max_entries: int | None = MOST_SIMILAR) -> D
     """
     own = terms.select("book_id", "term", casefold(F.col("term")).alias("f")).withColumn("words", F.array_distinct(F.regexp_extract_all("f", F.lit(f"{W}+"), F.lit(0)))).withColumn("n", F.length("f"))
     if max_entries is not None:
-        few = own.groupBy("book_id").count().where(F.col("count") <= max_entries).select("book_id")
-        own = own.join(few, "book_id", "left_semi")
+        own = own.join(_books(terms, max_entries), "book_id", "left_semi")
     # Pieces of a: (its length, which piece, its text). Pieces of b at every length and place that a may have.
     size = lambda n, k: F.floor((n + k) / 4).cast("int")
     start = lambda n, k: sum((size(n, j) for j in range(k)), F.lit(0)) + 1
@@ -54,54 +60,12 @@ def _piece(k: int, start: Column, size: Column):  # noqa: ANN202
     return at
 
 
-def _united(rows: pd.DataFrame) -> pd.DataFrame:
-    """Clusters of one book's pairs."""
-    root: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    for a, b in zip(rows["a"], rows["b"], strict=True):
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    return pd.DataFrame([(rows["book_id"].iloc[0], x, find(x)) for x in sorted(root)], columns=["book_id", "term", "cluster"])
-
-
-def similar_clusters(pairs: DataFrame, bounded: bool = False, rounds: int = 60) -> DataFrame:
-    """(book_id, term, cluster): the smallest term that each of a pair is connected with.
-
-    bounded: the pairs come from books of at most MOST_SIMILAR entries, and a book is done in one group. Else large-star
-    and small-star steps (Kiveris et al. 2014) go on until no edge changes; an error if they do not settle within `rounds`.
-    """
-    if bounded:
-        return pairs.select("book_id", "a", "b").groupBy("book_id").applyInPandas(_united, "book_id string, term string, cluster string")
+def similar_clusters(pairs: DataFrame, rounds: int = 60) -> DataFrame:
+    """(book_id, term, cluster): the smallest term that each of a pair is connected with. An error if that does not settle
+    within `rounds`."""
     node = lambda c: F.struct("book_id", F.col(c).alias("term"))
-    now = _cut(pairs.where("a <> b").select(node("a").alias("u"), node("b").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
-    for _ in range(rounds):
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == last or state[0] == 0:
-            ends = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), "v")).distinct()
-            return ends.select("u.book_id", "u.term", F.col("v.term").alias("cluster"))
-        last = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: a checkpoint in the session's folder for them, or where it has none with the executors."""
-    spark = df.sparkSession
-    context, found = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
-    if found and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(found)
-    return df.checkpoint() if context._jsc.sc().getCheckpointDir().isDefined() else df.localCheckpoint()
+    found = components(pairs.where("a <> b").select(node("a").alias("a"), node("b").alias("b")), max_rounds=rounds)
+    return found.select("node.book_id", "node.term", F.col("root.term").alias("cluster"))
 
 
 def overlapping(terms: DataFrame) -> DataFrame:
@@ -134,39 +98,37 @@ def unused_keywords(terms: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def thin(index: DataFrame, most: int = 1) -> DataFrame:
-    return index.where(F.size("pages") <= most).select("book_id", "term", F.size("pages").alias("n_pages"))
+    """index: occ, or what page_counts makes of it."""
+    return page_counts(index).where(F.col("n_pages") <= most)
 
 
 def dense(index: DataFrame, least: int = 20) -> DataFrame:
-    n = F.size("pages")
-    return index.where(n >= least).select("book_id", "term", n.alias("n_pages"), F.concat(n.cast("string"), F.lit(" pages")).alias("note"))
+    counts = page_counts(index).where(F.col("n_pages") >= least)
+    return counts.withColumn("note", F.concat(F.col("n_pages").cast("string"), F.lit(" pages")))
 
 
 def shared_pages(occ: DataFrame, least: float = 0.8, max_entries: int | None = MOST_SHARED) -> DataFrame:
     """(book_id, a, b, note): terms whose page sets have a Jaccard similarity of `least` or more and none of whose words are all
-    the other's.
+    the other's. A term without words is left out, as its words are among all others'.
 
     Pages are ordered by how few terms they have; similar sets share a page among each one's first pages, so only those meet.
+    Pairs that have met are one, and are sifted by their sizes and words, before their common pages are counted by a join.
     """
     sized = occ.select("book_id", "term", "page_idx").distinct().join(occ.groupBy("book_id", "term").agg(F.countDistinct("page_idx").alias("n")), ["book_id", "term"])
     if max_entries is not None:
-        few = occ.groupBy("book_id").agg(F.countDistinct("term").alias("n")).where(F.col("n") <= max_entries).select("book_id")
-        sized = sized.join(few, "book_id", "left_semi")
+        sized = sized.join(_books(occ, max_entries), "book_id", "left_semi")
     busy = sized.groupBy("book_id", "page_idx").agg(F.count("*").alias("busy"))
-    full = sized.join(busy, ["book_id", "page_idx"]).groupBy("book_id", "term", "n").agg(F.array_sort(F.collect_list(F.struct("busy", "page_idx"))).alias("pages"))
-    prefix = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1
-    first = full.select("book_id", "term", "n", "pages", F.explode(F.slice("pages", F.lit(1), prefix.cast("int"))).alias("p"))
-    x = first.select("book_id", "p", F.col("term").alias("a"), F.col("n").alias("na"), F.col("pages").alias("pa"))
-    y = first.select("book_id", "p", F.col("term").alias("b"), F.col("n").alias("nb"), F.col("pages").alias("pb"))
-    pairs = x.join(y, ["book_id", "p"]).where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("book_id", "a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("both")).distinct()
+    nth = F.row_number().over(Window.partitionBy("book_id", "term").orderBy("busy", "page_idx"))
+    first = sized.join(busy, ["book_id", "page_idx"]).withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    x = first.select("book_id", "page_idx", F.col("term").alias("a"), F.col("n").alias("na"))
+    y = first.select("book_id", "page_idx", F.col("term").alias("b"), F.col("n").alias("nb"))
+    met = x.join(y, ["book_id", "page_idx"]).where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("book_id", "a", "b", "na", "nb").distinct()
+    apart = met.where(~_subset(word_tokens(F.col("a")), word_tokens(F.col("b"))))
+    pages_a = sized.select("book_id", F.col("term").alias("a"), "page_idx")
+    pages_b = sized.select("book_id", F.col("term").alias("b"), "page_idx")
+    counted = apart.join(pages_a, ["book_id", "a"]).join(pages_b, ["book_id", "b", "page_idx"]).groupBy("book_id", "a", "b", "na", "nb").agg(F.count("*").alias("both"))
     score = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    apart = pairs.where(score >= least).where(~_subset_terms())
-    return apart.select("book_id", "a", "b", F.concat(F.floor(score * 100).cast("string"), F.lit("% overlap")).alias("note"))
-
-
-def _subset_terms() -> Column:
-    a, b = word_tokens(F.col("a")), word_tokens(F.col("b"))
-    return (F.size(a) > 0) & (F.size(b) > 0) & ((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0))
+    return counted.where(score >= least).select("book_id", "a", "b", F.concat(F.floor(score * 100).cast("string"), F.lit("% overlap")).alias("note"))
 
 
 def acronyms(terms: DataFrame) -> DataFrame:
@@ -179,14 +141,52 @@ def acronyms(terms: DataFrame) -> DataFrame:
     return short.join(long, ["book_id", "initials"]).select("book_id", "acronym", "expansion")
 
 
-def summary(occ: DataFrame, keywords: DataFrame, most: int = 1, least: int = 20, reports: tuple[str, ...] = REPORTS) -> DataFrame:
-    """(report_id, findings): how many each chosen report has, whatever the size of the books."""
-    from folioscope.operators.index import nested
+def findings(
+    occ: DataFrame, keywords: DataFrame, most: int = 1, least: int = 20, reports: tuple[str, ...] = REPORTS, most_similar: int | None = MOST_SIMILAR, most_shared: int | None = MOST_SHARED,
+) -> DataFrame:
+    """(report_id, book_id, key, terms array<string>, note) of the chosen reports; the key is the first term.
+
+    Books over most_similar or most_shared entries have no findings in those two reports; `sections` names them. Unused
+    keywords belong to no book. A null limit is none."""
+    terms = occ.select("book_id", "term").distinct()
+    none = F.lit("")
+
+    def of(df: DataFrame, found: Column, note: Column = none, book: Column | None = None) -> DataFrame:
+        return df.select((F.col("book_id") if book is None else book).alias("book_id"), found.alias("terms"), note.alias("note"))
+
+    def clusters() -> DataFrame:
+        return similar_clusters(similar_pairs(terms, most_similar)).groupBy("book_id", "cluster").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
-    terms, index = occ.select("book_id", "term").distinct(), nested(occ)
     makers = {
-        "similar_terms": lambda: similar_clusters(similar_pairs(terms, None)).select("book_id", "cluster").distinct(), "overlapping_terms": lambda: overlapping(terms),
-        "capitalization_variants": lambda: capitalization_variants(terms), "formatting_variants": lambda: formatting_variants(terms), "unused_include_terms": lambda: unused_keywords(terms, keywords),
-        "thin_entries": lambda: thin(index, most), "dense_entries": lambda: dense(index, least), "shared_page_sets": lambda: shared_pages(occ, max_entries=None), "acronym_pairs": lambda: acronyms(terms),
+        "similar_terms": lambda: of(clusters(), F.col("terms")), "overlapping_terms": lambda: of(overlapping(terms), F.concat(F.array("term"), "containers")),
+        "capitalization_variants": lambda: of(capitalization_variants(terms), F.col("variants")), "formatting_variants": lambda: of(formatting_variants(terms), F.col("variants")),
+        "unused_include_terms": lambda: of(unused_keywords(terms, keywords), F.array("word"), book=F.lit(None).cast("string")),
+        "thin_entries": lambda: of(thin(occ, most), F.array("term")), "dense_entries": lambda: of(dense(occ, least), F.array("term"), F.col("note")),
+        "shared_page_sets": lambda: of(shared_pages(occ, max_entries=most_shared), F.array("a", "b"), F.col("note")), "acronym_pairs": lambda: of(acronyms(terms), F.array("acronym", "expansion")),
     }
-    return reduce(DataFrame.unionByName, [makers[r]().agg(F.count("*").alias("findings")).select(F.lit(r).alias("report_id"), "findings") for r in REPORTS if r in reports])
+    each = [makers[r]().select(F.lit(r).alias("report_id"), "book_id", F.col("terms")[0].alias("key"), "terms", "note") for r in REPORTS if r in reports]
+    return reduce(DataFrame.unionByName, each)
+
+
+def sections(occ: DataFrame, reports: tuple[str, ...] | None = None, most_similar: int | None = MOST_SIMILAR, most_shared: int | None = MOST_SHARED) -> DataFrame:
+    """(report_id, ord, book_id, not_run): all reports of each book in their fixed order. A report is not run where it is not
+    chosen, or where the book has too many entries for it. An empty index has no books, so no sections."""
+    books = occ.groupBy("book_id").agg(F.countDistinct("term").alias("n"))
+    limit = {"similar_terms": most_similar, "shared_page_sets": most_shared}
+    rows = []
+    for k, r in enumerate(REPORTS):
+        over = F.lit(True) if reports is not None and r not in reports else (F.col("n") > limit[r]) if limit.get(r) is not None else F.lit(False)
+        rows.append(F.struct(F.lit(r).alias("report_id"), F.lit(k).alias("ord"), over.alias("not_run")))
+    return books.select("book_id", F.explode(F.array(*rows)).alias("s")).select("s.report_id", "s.ord", "book_id", "s.not_run")
+
+
+def summary(
+    occ: DataFrame, keywords: DataFrame, most: int = 1, least: int = 20, reports: tuple[str, ...] = REPORTS, most_similar: int | None = None, most_shared: int | None = None,
+) -> DataFrame:
+    """(report_id, findings, not_run): how many findings each chosen report has, and for how many books it was not run. Without
+    limits, as by default, books of any size are looked through."""
+    counts = findings(occ, keywords, most, least, reports, most_similar, most_shared).groupBy("report_id").agg(F.count("*").alias("findings"))
+    left_out = sections(occ, None, most_similar, most_shared).groupBy("report_id").agg(F.count_if("not_run").alias("not_run"))
+    chosen = occ.sparkSession.createDataFrame([(r,) for r in REPORTS if r in reports], "report_id string")
+    both = chosen.join(F.broadcast(counts), "report_id", "left").join(F.broadcast(left_out), "report_id", "left")  # a row for each report
+    return both.select("report_id", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("not_run", F.lit(0)).cast("long").alias("not_run"))

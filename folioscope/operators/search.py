@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope import lexicon
-from folioscope.functions.text import W
+from folioscope.functions.text import match_spans, nfkc
+from folioscope.operators.keywords import from_selection
 
 #: Words of a cloud: a letter, then one or more word characters or apostrophes.
 CLOUD_WORD = rf"\p{{L}}[\p{{L}}\p{{N}}_']+"
@@ -42,11 +43,28 @@ def keyword_flag(cloud: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def toggle(words: list[str], word: str) -> list[str]:
-    """A click on a cloud word: the list without it in any case, or with it."""
+    """The list without the word in any case, or with it."""
     kept = [w for w in words if w.lower() != word.lower()]
     return kept if len(kept) < len(words) else [*words, word]
 
 
+def add_word(words: list[str], word: str) -> list[str]:
+    """The list with the word, unless it has it in some case, or it is blank."""
+    return words if not word.strip() or word.strip().lower() in {w.lower() for w in words} else [*words, word.strip()]
+
+
+def click(cloud: str, word: str, keywords: list[str], excludes: list[str]) -> tuple[list[str], list[str]]:
+    """(keywords, excludes) after a click on a cloud's word, without ASCII punctuation at its end.
+
+    In the cloud `in_index` the word is excluded, in `not_in_index` it becomes a keyword, in `all` it is one or ceases to be."""
+    word = from_selection(word)
+    if cloud == "in_index":
+        return keywords, add_word(excludes, word)
+    if cloud == "not_in_index":
+        return add_word(keywords, word), excludes
+    return toggle(keywords, word), excludes
+
+
 def filter_lines(lines: DataFrame, wanted: str) -> DataFrame:
     return lines.where(F.lower("line").contains(wanted.lower()))
 
@@ -57,11 +75,7 @@ def _literal(phrase: str) -> str:
 
 def occurrences(text: Column, pattern: str) -> Column:
     """Starts of the matches, in characters."""
-    gaps, hits = F.transform(F.split(text, pattern, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("length"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    fold = F.aggregate(pairs, zero, lambda acc, m: F.struct((acc["at"] + m["gap"] + m["length"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + m["gap"])).alias("starts")))
-    return F.when(text.rlike(pattern), fold["starts"]).otherwise(F.array().cast("array<int>"))
+    return F.transform(match_spans(text, pattern), lambda s: s["start"])
 
 
 def phrase_search(pages: DataFrame, phrase: str) -> DataFrame:
@@ -80,32 +94,59 @@ def next_hit(total: int, at: int, step: int = 1) -> int:
     return (at + step) % total
 
 
+def first_hit(found: DataFrame, page_idx: int) -> DataFrame:
+    """Of phrase_search's matches, for each book the first on or after a page, else the first of all, with its number from 0 in
+    `nth` and how many there are in `total`."""
+    counts = found.groupBy("book_id").agg(
+        F.count("*").alias("total"), F.count_if(F.col("page_idx") < page_idx).alias("before"), F.min(F.when(F.col("page_idx") >= page_idx, F.struct("page_idx", "match_ord", "start"))).alias("here"), F.min(F.struct("page_idx", "match_ord", "start")).alias("first"),
+    )
+    at = F.coalesce("here", "first")
+    nth = F.when(F.col("here").isNull(), 0).otherwise(F.col("before"))
+    return counts.select("book_id", at["page_idx"].alias("page_idx"), at["match_ord"].alias("match_ord"), at["start"].alias("start"), nth.cast("long").alias("nth"), "total")
+
+
+#: Characters that do not count at the edges of a word or of a term's word.
+EDGE = ".,;:!?()[]{}\"'-/"
+#: First words of terms, up to which words of pages are sifted by them before they are joined.
+FIRST_WORDS = 10_000
+
+
+def page_words(text: Column) -> Column:
+    """Words of a page between white space; a word's place is its number from 0."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
 def highlights(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(book_id, page_idx, at, word, term): words of a page that a term covers; of several terms the last owns the word.
+    """(book_id, page_idx, at, term): words of a page that a term covers; of several terms the last owns the word.
 
-    terms: (ord, term). A term is also looked for as `First Last` of `Last, First`, without punctuation at its edges; one
-    that is capitalised wants a capitalised word. Words are split at white space and runs of them are joined to the terms.
+    terms: (ord, term). A term with `, ` in it is also looked for with what follows put first. Both sides are in NFKC form,
+    and EDGE is taken off each word; what is then empty still takes its place. A word of a term that is capitalised wants a
+    capitalised word. Runs of words, as long as terms are, are joined to the terms.
     """
-    bare = lambda c: F.regexp_replace(c, rf"^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$", "")
-    forms = terms.select("ord", "term", F.explode(F.array_distinct(F.array("term", F.regexp_replace("term", "^([^,]+), ([^,]+)$", "$2 $1")))).alias("form"))
-    words = F.filter(F.transform(F.split("form", r"\s+"), bare), lambda w: w != "")
-    wanted = forms.select("ord", "term", words.alias("w")).where(F.size("w") > 0).select("ord", "term", F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("key"), F.element_at("w", 1).rlike(r"^\p{Lu}").alias("cap"))
-    sizes = [r[0] for r in wanted.select("n").distinct().collect()]
-    own = pages.select("book_id", "page_idx", F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), bare), lambda w: w != "").alias("words"))
-    tries = F.flatten(F.array(*[F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - (n - 1)), _run(n))).otherwise(F.array().cast("array<struct<at: int, n: int, first: string, key: string>>")) for n in sorted(sizes)]))
-    run = own.select("book_id", "page_idx", "words", F.explode(tries).alias("t")).select("book_id", "page_idx", "t.at", "t.n", "t.first", "t.key")
-    hit = run.join(wanted, ["n", "key"]).where(~F.col("cap") | F.col("first").rlike(r"^\p{Lu}"))
-    each = hit.select("book_id", "page_idx", "ord", "term", F.explode(F.sequence(F.col("at") - 1, F.col("at") + F.col("n") - 2)).alias("at"))
-    return each.groupBy("book_id", "page_idx", "at").agg(F.max_by("term", "ord").alias("term"))
 
-
-def _run(n: int):  # noqa: ANN202
-    return lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.element_at("words", i).alias("first"), F.lower(F.array_join(F.slice("words", i, F.lit(n)), " ")).alias("key"))
+    def bare(words: Column) -> Column:
+        return F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
+
+    normal = terms.select("ord", "term", nfkc(F.col("term")).alias("form"))
+    turned = F.when(F.col("form").contains(", "), F.regexp_replace("form", "(?s)^(.*?), (.*)$", "$2 $1"))
+    forms = normal.select("ord", "term", F.explode(F.array_compact(F.array("form", turned))).alias("form"))
+    wanted = forms.select("ord", "term", bare(page_words(F.col("form"))).alias("w")).where(F.size("w") > 0)
+    caps = lambda words: F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
+    wanted = wanted.select("ord", "term", F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("key"), F.lower(F.col("w")[0]).alias("first"), caps(F.col("w")).alias("caps"))
+    sizes = sorted(r[0] for r in wanted.select("n").distinct().collect())  # lengths of terms in words
+    firsts = [r[0] for r in wanted.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
+    own = pages.select("book_id", "page_idx", bare(page_words(nfkc(F.col("text")))).alias("words"))
+    starts = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.lower(w).alias("first")))
+    if len(firsts) <= FIRST_WORDS:
+        starts = F.filter(starts, lambda s: s["first"].isin(*firsts) if firsts else F.lit(False))
+    runs = F.flatten(F.transform(starts, lambda s: F.array(*[F.struct(s["at"].alias("at"), F.lit(n).alias("n"), F.slice("words", s["at"] + 1, F.lit(n)).alias("run")) for n in sizes or [1]])))
+    run = own.select("book_id", "page_idx", F.explode(runs).alias("t")).where(F.size("t.run") == F.col("t.n")).select("book_id", "page_idx", "t.at", "t.n", F.lower(F.array_join("t.run", " ")).alias("key"), F.col("t.run").alias("run"))
+    fits = F.forall(F.zip_with("caps", caps(F.col("run")), lambda wants, has: ~wants | has), lambda x: x)
+    hit = run.join(wanted, ["n", "key"]).where(fits)
+    each = hit.select("book_id", "page_idx", "ord", "term", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
+    return each.groupBy("book_id", "page_idx", "at").agg(F.max_by("term", "ord").alias("term"))
 
 
 def accent(owned: DataFrame, term: str) -> DataFrame:
     """Words that a term owns, and no other term."""
     return owned.where(F.col("term") == term)
-
-
-WORD = W
