@@ -1,20 +1,24 @@
-"""What the operators of this subpackage share: text normalisation, shared storage, graph components."""
+"""What the operators of this subpackage share: text normalisation, record batches, joins with hot keys."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.graph import components
+from folioscope.storage import checkpointed, free_name, new_path, quoted, shared_dir, stored
+
+__all__ = ["alnum_words", "ascii_lower", "batches", "checkpointed", "components", "free_name", "join_hot_apart", "new_path", "numbered_copies", "quoted", "shared_dir", "space_words", "stored", "utf8"]
+
+#: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 1000
 #: Words of the alphanumeric kind, on text whose A-Z are lower-cased: runs without ASCII other than 0-9 and a-z.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Maps every byte that cannot be in such a word to a space.
-_SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+SEPARATORS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -25,7 +29,7 @@ def utf8(text: str | None) -> bytes:
 
 def alnum_words(text: str | None) -> list[bytes]:
     """Lower-cases A-Z and splits into words of WORD_PATTERN."""
-    return utf8(text).lower().translate(_SEPARATORS).split()
+    return utf8(text).lower().translate(SEPARATORS).split()
 
 
 def space_words(text: str | None) -> list[bytes]:
@@ -38,47 +42,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found:
-        if current.isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
-        return found
-    if current.isDefined():
-        return current.get()
-    made = tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the shared folder, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: compressed, read by column, and safe from lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """`name`, or with underscores in front until no column of df has it, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def batches(rows: Iterator[tuple], schema: pa.Schema, max_rows: int = 4096, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches of bounded rows and bytes from an iterator of tuples."""
     kept: list[tuple] = []
@@ -97,32 +60,27 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def quoted(names: list[str]) -> list[Column]:
-    """Columns by their exact names, dots and all."""
-    return [F.col("`" + re.sub("`", "``", n) + "`") for n in names]
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, root): for each node of an edge, the smallest node that it is connected with.
+def join_hot_apart(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with table, which has one row for each key and in `count` how many rows the key has.
 
-    Alternates the large-star and small-star steps (Kiveris et al. 2014) until no edge changes. Each step is a
-    partially aggregated minimum and a join, so a node with very many neighbours is split like any skewed join.
-    Each round is checkpointed. Null ends and loops are ignored.
+    Both are read twice, so they are stored tables. Keys with more than one in HOT_KEYS of all rows are broadcast, as there
+    are fewer than HOT_KEYS of them; their rows stay where they are. The others are shuffled. Rows without a key are left out.
     """
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where((F.col(a) != F.col(b)))
-    now = checkpointed(now.distinct())
-    last = None
-    for _ in range(max_rounds):
-        state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if state == last or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root"))
-            ).distinct()
-        last = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) > total / HOT_KEYS
+    hot = table.where(is_hot)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    apart = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot), key)
+    return apart.unionByName(rest)
+
+
+def numbered_copies(rows: DataFrame, count: str, number: str, chunk: int = 10_000) -> DataFrame:
+    """Each row as often as `count` says, numbered from 1; rows of very many copies are dealt out to several tasks."""
+    own = free_name(rows, "chunk")
+    one = rows.where(F.col(count) == 1).withColumn(number, F.lit(1).cast("long"))
+    parts = rows.where(F.col(count) > 1).withColumn(own, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(`{count}` - 1) div {chunk}"))))
+    first = F.col(own) * chunk + 1
+    many = parts.repartition(own).withColumn(number, F.explode(F.sequence(first, F.least(first + (chunk - 1), F.col(count).cast("long"))))).drop(own)
+    return one.unionByName(many)

@@ -15,21 +15,21 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import ascii_lower, batches, free_name, utf8
+from folioscope.llm.common import ascii_lower, batches, free_name, join_hot_apart, numbered_copies, quoted, stored, utf8
 
 #: Bytes of content that one table holds before it is spilled.
 TABLE_BYTES = 48 << 20
 #: Spill files per level, and the bits of the hash that choose one.
 FAN_OUT, FAN_BITS = 16, 4
 
-Record = tuple[int, bytes, int | None, int]  # hash, content, largest id, count
+Record = tuple[int, bytes, int | None, int, int]  # hash, content, largest id, count, count of rows with that id
 
-_HEADER = struct.Struct("<QqB3xIQ")  # hash, largest id, has id, length, count
-_COLLAPSED = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("top", pa.int64()), ("n", pa.int64())])
-_GROUPS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_HEADER = struct.Struct("<QqB3xIQQ")  # hash, largest id, has id, length, counts
+_COLLAPSED = pa.schema([("h", pa.int64()), ("content", pa.binary()), ("top", pa.int64()), ("n", pa.int64()), ("n_top", pa.int64())])
+_GROUPS = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("n_top", pa.int64())])
 _MEMBERS = pa.schema([("id", pa.int64()), ("digest", pa.binary())])
 
 
@@ -52,16 +52,19 @@ class ContentTable:
         return at
 
     def add(self, record: Record) -> None:
-        h, content, top, n = record
+        h, content, top, n, n_top = record
         at = self._slot(h, content)
         e = self.slots[at]
         if e >= 0:
             entry = self.entries[e]
-            entry[2] = top if entry[2] is None else entry[2] if top is None else max(entry[2], top)
             entry[3] += n
+            if top == entry[2]:
+                entry[4] += n_top
+            elif entry[2] is None or (top is not None and top > entry[2]):
+                entry[2], entry[4] = top, n_top
             return
         self.slots[at] = len(self.entries)
-        self.entries.append([h, content, top, n])
+        self.entries.append([h, content, top, n, n_top])
         self.held += len(content) + 200
         if 2 * len(self.entries) > len(self.slots):
             self._grow()
@@ -79,8 +82,8 @@ class ContentTable:
 def _read(path: str) -> Iterator[Record]:
     with open(path, "rb") as f:
         while head := f.read(_HEADER.size):
-            h, top, has, size, n = _HEADER.unpack(head)
-            yield h, f.read(size), top if has else None, n
+            h, top, has, size, n, n_top = _HEADER.unpack(head)
+            yield h, f.read(size), top if has else None, n, n_top
 
 
 def grace(records: Iterable[Record], table_bytes: int, folder: str, level: int = 0) -> Iterator[Record]:
@@ -91,9 +94,9 @@ def grace(records: Iterable[Record], table_bytes: int, folder: str, level: int =
     last = (level + 1) * FAN_BITS > 64
 
     def spill(record: Record) -> None:
-        h, content, top, n = record
+        h, content, top, n, n_top = record
         f = files[(h >> (level * FAN_BITS)) % FAN_OUT]
-        f.write(_HEADER.pack(h, top or 0, top is not None, len(content), n))
+        f.write(_HEADER.pack(h, top or 0, top is not None, len(content), n, n_top))
         f.write(content)
 
     for record in records:
@@ -128,7 +131,7 @@ def _collapse(table_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             for part in parts:
                 for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     content = utf8(text.as_py()).lower()
-                    table.add((xxhash.xxh3_64_intdigest(content), content, i, 1))
+                    table.add((xxhash.xxh3_64_intdigest(content), content, i, 1, 1))
                     if table.held > table_bytes:
                         yield from ((_signed(h), *rest) for h, *rest in table.entries)
                         table = ContentTable()
@@ -143,12 +146,12 @@ def _merge(table_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[Record]:
             for part in parts:
-                for h, content, top, n in zip(*(part.column(k) for k in range(4)), strict=True):
-                    yield h.as_py() % (1 << 64), content.as_py(), top.as_py(), n.as_py()
+                for h, *rest in zip(*(part.column(k) for k in range(5)), strict=True):
+                    yield h.as_py() % (1 << 64), *(x.as_py() for x in rest)
 
         with tempfile.TemporaryDirectory(prefix="grace-") as folder:
             found = grace(records(), table_bytes, folder)
-            yield from batches(((hashlib.sha256(content).digest(), top, n) for _, content, top, n in found), _GROUPS)
+            yield from batches(((hashlib.sha256(content).digest(), *rest) for _, content, *rest in found), _GROUPS)
 
     return run
 
@@ -167,19 +170,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id and the text exactly one is kept. An empty table gives no rows; other columns are not read.
 
     Contents are collapsed before the shuffle, so a text that fills a third of the table crosses it once per input
-    partition. The rows themselves move as (id, digest) and meet their group in a join whose skew Spark splits.
+    partition. The rows themselves are written as (id, digest). Those of the few hot groups meet their group where they
+    are, the others by a shuffle. Rows that repeat the kept id are alike in all that is returned, so they are made anew
+    from their number, and no group is numbered row by row.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    groups = (
-        rows.mapInArrow(_collapse(table_bytes), "h long, content binary, top long, n long")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    groups = stored(
+        rows.mapInArrow(_collapse(table_bytes), "h long, content binary, top long, n long, n_top long")
         .repartition("h")
-        .mapInArrow(_merge(table_bytes), "digest binary, keep_id long, group_size long")
+        .mapInArrow(_merge(table_bytes), "digest binary, keep_id long, group_size long, n_top long"),
+        "groups",
     )
-    members = rows.mapInArrow(_digests, "id long, digest binary")
-    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.lit(0)))
-    # Only the last id of a group can repeat as the kept one, so the numbering follows the join's result.
-    joined = members.join(groups, "digest").withColumn("nth", nth)
-    return joined.select("id", "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "digest")
+    members = stored(rows.mapInArrow(_digests, "id long, digest binary"), "members")
+    is_top = F.col("id").eqNullSafe(F.col("keep_id"))
+    met = join_hot_apart(members, groups, "digest", "group_size").where(~is_top | (F.col("n_top") == 1))
+    again = numbered_copies(groups.where("n_top > 1").withColumn("id", F.col("keep_id")), "n_top", "number")
+    both = met.select("id", "keep_id", "group_size", is_top.alias("kept"), "digest")
+    return both.unionByName(again.select("id", "keep_id", "group_size", (F.col("number") == 1).alias("kept"), "digest"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
@@ -187,8 +194,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat an id and a text are kept once. Null ids: see exact_groups.
     """
-    digest, nth = free_name(docs, "digest"), free_name(docs, "nth")
-    kept = exact_groups(docs, id_col, text_col, table_bytes).where("kept").select(F.col("id").alias("_id"), F.hex("digest").alias("_digest"))
-    keyed = docs.withColumn(digest, F.upper(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)))
-    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, digest).orderBy(F.lit(0)))).where(F.col(nth) == 1)
-    return keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed[digest] == kept["_digest"]), "left_semi").drop(digest, nth)
+    own, digest, times = (free_name(docs, n) for n in ("kept_id", "digest", "times"))
+    tops = exact_groups(docs, id_col, text_col, table_bytes).where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("id").alias(own), F.col("digest").alias(digest)).agg(F.count("*").alias(times))
+    content = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).cast("binary"), 256))
+    joined = docs.join(tops, F.col(f"`{id_col}`").eqNullSafe(F.col(own)) & (content == F.col(digest)))
+    # Only rows that repeat need another look; they are combined before they are shuffled.
+    again = joined.where(F.col(times) > 1).dropDuplicates([own, digest])
+    return joined.where(F.col(times) == 1).unionByName(again).select(*quoted(docs.columns))

@@ -5,8 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, exact_dedup, licenses, near_dedup, secrets, sharding, suffix_dedup
-from folioscope.llm.common import components
+from folioscope.llm import common, decontaminate, exact_dedup, licenses, near_dedup, secrets, sharding, suffix_dedup
+from folioscope.llm.common import components, numbered_copies
 from tests.llm import brute
 
 
@@ -14,6 +14,13 @@ def pairs(df):
     return [tuple(r) for r in df.select("doc_id", "text").collect()]
 
 
+@pytest.fixture(params=[1000, 7])
+def hot_keys(request, monkeypatch):
+    """In small tables all keys are hot; with the second value most are not."""
+    monkeypatch.setattr(common, "HOT_KEYS", request.param)
+    return request.param
+
+
 def key(row):
     return tuple((x is not None, str(x)) for x in row)
 
@@ -30,7 +37,7 @@ def given(spark, sf):
 
 @pytest.mark.parametrize("which", ["hard", "given"])
 @pytest.mark.parametrize("table_bytes", [48 << 20, 3000])
-def test_exact_groups(which, table_bytes, request):
+def test_exact_groups(which, table_bytes, hot_keys, request):
     df, rows = request.getfixturevalue(which)
     got = exact_dedup.exact_groups(df, table_bytes=table_bytes).collect()
     groups = brute.exact_groups(rows)
@@ -43,19 +50,26 @@ def test_exact_groups(which, table_bytes, request):
 
 
 def test_grace_spills_and_merges_ids(tmp_path):
-    records = [(k % 7, bytes([k % 50]) * 100, None if k % 3 else k, 1) for k in range(500)]
-    got = {r[1]: (r[2], r[3]) for r in exact_dedup.grace(records, 2000, str(tmp_path))}
-    wanted = {}
-    for h, content, top, n in records:
-        old = wanted.get((h, content), (None, 0))
-        wanted[h, content] = (max((x for x in (old[0], top) if x is not None), default=None), old[1] + n)
-    assert sorted((r[0], r[1], r[2], r[3]) for r in exact_dedup.grace(records, 2000, str(tmp_path)) if r[2] is not None) == sorted((h, c, *v) for (h, c), v in wanted.items() if v[0] is not None)
-    assert len(got) == 50
+    records = [(k % 7, bytes([k % 50]) * 100, None if k % 3 else k % 200, 1, 1) for k in range(500)]
+    got = {r[:2]: r[2:] for r in exact_dedup.grace(records, 2000, str(tmp_path))}
+    ids = {}
+    for h, content, top, *_ in records:
+        ids.setdefault((h, content), []).append(top)
+    tops = {k: max((i for i in v if i is not None), default=None) for k, v in ids.items()}
+    assert got == {k: (tops[k], len(v), v.count(tops[k])) for k, v in ids.items()}
     assert not [p for p in tmp_path.rglob("*") if p.is_file()]
 
 
+@pytest.mark.parametrize("chunk", [10_000, 3])
+def test_copies_are_numbered(spark, chunk):
+    df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 3), (None, 1)], "x string, n long")
+    got = sorted(numbered_copies(df, "n", "number", chunk).select("x", "number").collect(), key=str)
+    assert got == sorted([("a", 1), (None, 1), *(("b", k) for k in range(1, 8)), *(("c", k) for k in range(1, 4))], key=str)
+    assert numbered_copies(df.limit(0), "n", "number").count() == 0
+
+
 @pytest.mark.parametrize("which,percent", [("hard", 85), ("given", 80)])
-def test_near_groups(which, percent, request):
+def test_near_groups(which, percent, hot_keys, request):
     df, rows = request.getfixturevalue(which)
     got = near_dedup.near_groups(df, percent=percent, block=8, few_members=5).collect()
     same([r[:3] for r in got], brute.near_groups(rows, percent))
@@ -204,6 +218,32 @@ def test_shards(hard, bucket_bytes):
     assert sharding.shard(df.limit(0)).count() == 0
 
 
+def test_shards_do_not_follow_the_partitions(spark, given):
+    df = given[0].select("doc_id", "text")
+    key, places = "spark.sql.shuffle.partitions", []
+    for adaptive, n in (("true", 8), ("false", 8), ("true", 3), ("false", 5)):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set(key, n)
+        places.append(sorted(map(tuple, sharding.shard(df.repartition(n), 8, bucket_bytes=5000).select("doc_id", "shard", "slot").collect())))
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set(key, 8)
+    assert all(p == places[0] for p in places)
+    assert [p[0] for p in sorted(places[0], key=lambda p: (p[2], p[1]))] != [p[0] for p in places[0]]
+
+
+@pytest.mark.parametrize("same", [("same id and text", 1), (None, None)])
+def test_shards_of_very_many_rows_alike(spark, same):
+    text, i = same
+    rows = [(i, text)] * 4000 + [(k, f"text {k}") for k in range(10, 1010)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sharding.shard(df, 8, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(rows)
+    for s in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(625))
+    scattered = sharding._scattered(df, F.struct("doc_id"), 10, 500, 20, [F.col("doc_id").cast("string"), F.col("text")], sharding.text_size(F.col("text")))
+    assert max(r["count"] for r in scattered.groupBy("bucket").count().collect()) < 1200
+
+
 def test_shards_are_written(spark, hard, tmp_path):
     df = hard[0].select("doc_id", "text")
     sharding.write_shards(df, str(tmp_path / "out"), 4)
