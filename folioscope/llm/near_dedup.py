@@ -7,6 +7,8 @@ Pagh and Pham 2014). Pairs that the sketches don't rule out are confirmed on the
 Equal sets are one node from the start. In a bucket of a band each node is first compared with the smallest one only. What
 that links is contracted, and only buckets that still hold more than one component are searched for pairs across
 components. So no bucket's pairs are all emitted, and links that decide nothing are not looked for.
+
+Sets are known by 64-bit hashes of their shingles, and nodes by 128-bit hashes of these; neither is cryptographic.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import batches, components, free_name, quoted, space_words, stored
+from folioscope.llm.common import batches, components, free_name, join_hot_apart, quoted, space_words, stored
 
 #: A similarity s is missed with probability (1 - s**ROWS)**BANDS: 2e-8 at 0.85, 3e-6 at 0.8.
 BANDS, ROWS = 24, 4
@@ -135,6 +137,27 @@ def _confirm(size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
+def _sift(percent: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """From a cell's (band, i, j, node, root, own, n_shingles, sketch): the nodes that may be linked with one of another root
+    in it, by the population counts of the sketches' XOR and the sets' sizes."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own, roots = rows["own"].to_numpy(), pd.factorize(rows["root"])[0]
+        left, right = np.flatnonzero(own == rows["i"].iloc[0]), np.flatnonzero(own == rows["j"].iloc[0])
+        sketches = np.stack(rows["sketch"].to_list()).view(np.uint64)
+        counts = rows["n_shingles"].to_numpy()
+        kept = np.zeros(len(rows), bool)
+        for x in left:  # a row of the cell at a time
+            small, large = np.minimum(counts[x], counts[right]), np.maximum(counts[x], counts[right])
+            differ = np.bitwise_count(sketches[x] ^ sketches[right]).sum(1, dtype=np.int64)
+            partners = right[(differ <= most) & (100 * small >= percent * large) & (roots[right] != roots[x])]
+            kept[partners] = True
+            kept[x] |= len(partners) > 0
+        return rows.loc[kept, ["band", "i", "j", "node", "root", "own"]]
+
+    return run
+
+
 def _cell(size: int, percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """From a cell's (i, j, own, node, root, text): linked pairs that join components, one for each joining at most."""
 
@@ -217,9 +240,9 @@ def near_groups(
     sign = _sign(size, bands, rows, sketch_words)
     signed = stored(texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(sign, "id long, text_key long, n_shingles long, node binary, bands array<long>, sketch array<long>"), "signatures")
     full = signed.where("node is not null")
-    nodes = full.groupBy("node").agg(F.min("id").alias("first"))
-    # The rows that stand for their node, for bands, sketches and texts.
-    chosen = nodes.join(full.withColumnRenamed("node", "n"), (F.col("n") == F.col("node")) & F.col("id").eqNullSafe(F.col("first"))).drop("n", "first", "text_key").dropDuplicates(["node"])
+    # Rows of one node have equal bands and sketches; they are combined before the shuffle.
+    chosen = full.groupBy("node").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
+    nodes = stored(full.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n_rows")), "nodes")
     banded = chosen.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(banded.join(shared, "band"), "buckets")
@@ -250,20 +273,22 @@ def near_groups(
     across = left.join(right, "band").where("root_a <> root_b and a < b").where(_plausible("x", "y", percent, most)).select("a", "b").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     fresh = across.join(tried, ["a", "b"], "left_anti")
-    # Large buckets: cells of two blocks, in which full sets are compared without listing the pairs.
+    # Large buckets: cells of two blocks. Sketches alone are dealt first; only nodes that they leave a partner in a cell
+    # bring their text to it, where full sets are compared without listing the pairs.
     many = contested.where(F.col("members") > few_members).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     dealt = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own").join(candidates, "node")
-    within = cells.groupBy("band", "i", "j").applyInPandas(_cell(size, percent), "a binary, b binary").distinct()
+    cells = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root", "own", "n_shingles", "sketch")
+    left_over = cells.groupBy("band", "i", "j").applyInPandas(_sift(percent, most), "band long, i int, j int, node binary, root binary, own int")
+    within = left_over.join(candidates, "node").groupBy("band", "i", "j").applyInPandas(_cell(size, percent), "a binary, b binary").distinct()
     links = stored(near.unionByName(confirmed(fresh)).unionByName(within), "links")
     roots = components(links)
 
     lowest = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("least"))
     least = roots.join(lowest, "root").select("node", "least")
-    known = nodes.join(least, "node", "left").select("node", F.coalesce("least", "first").alias("component_id"))
-    result = signed.select("id", "text_key", "n_shingles", "node").join(known, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return result.select("id", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_key")
+    known = stored(nodes.join(least, "node", "left").select("node", "n_rows", F.coalesce("least", "first").alias("component_id")), "components")
+    alone = signed.where("node is null").withColumn("component_id", F.col("id"))
+    result = join_hot_apart(full.select("id", "text_key", "n_shingles", "node"), known, "node", "n_rows").unionByName(alone, allowMissingColumns=True)
+    return result.select("id", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def _nodes(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
