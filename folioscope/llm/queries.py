@@ -51,8 +51,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secrets.fit_models(secrets.labelled_samples(docs))
-    found = secrets.scan_secrets(docs.select("doc_id", "text"), model)
+    model, least = secrets.fit_secrets(docs)
+    found = secrets.scan_secrets(docs.select("doc_id", "text"), model, least_ratio=least)
     base = F.filter("spans", lambda s: s["kind"] != "markov")
 
     def count(kind: str) -> Column:
