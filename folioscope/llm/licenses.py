@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-A rule is a regular expression over a text's words, joined by single spaces. Rules are tried in their order of priority;
-a detection inside the span of one of higher priority, or inside a longer one of the same, is suppressed.
+A rule is a regular expression over a text's words, joined by single spaces. Rules are hand-written (`license_signatures`), or
+made of license families, versions and ways of writing. They are tried in their order of priority; a detection inside the span of one of higher priority, or inside a longer one of the same, is suppressed.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ from dataclasses import dataclass
 from functools import cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import alnum_words, batches
+from folioscope.llm import license_signatures
+from folioscope.llm.common import SEPARATORS, alnum_words, batches, utf8
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -54,7 +56,7 @@ FAMILIES = [
     ("mit", ["mit licen[cs]e", "expat licen[cs]e"], [], ["mit licen", "expat"]),
     ("isc", ["isc licen[cs]e"], [], ["isc licen"]),
     ("bsd", ["bsd licen[cs]e"], [], ["bsd"]),
-    ("bsd-2-clause", ["bsd 2 clause(?: licen[cs]e)?", "2 clause bsd(?: licen[cs]e)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e"], [], ["bsd"]),
+    ("bsd-2-clause", ["bsd 2 clause(?: licen[cs]e)?", "2 clause bsd(?: licen[cs]e)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e"], [], ["bsd", "freebsd", "simplified bsd", "2 clause bsd"]),
     ("bsd-3-clause", ["bsd 3 clause(?: licen[cs]e)?", "3 clause bsd(?: licen[cs]e)?", "new bsd licen[cs]e", "modified bsd licen[cs]e"], [], ["bsd"]),
     ("unlicense", ["the unlicen[cs]e"], [], ["unlicen"]),
     ("wtfpl", ["wtfpl"], ["2 0"], ["wtfpl"]),
@@ -65,17 +67,6 @@ FAMILIES = [
 #: Creative Commons elements; each combination, version and way of writing makes a rule.
 CC_ELEMENTS = [("by", "attribution"), ("by sa", "attribution share ?alike"), ("by nd", "attribution no ?deriv(?:ative)?s"), ("by nc", "attribution non ?commercial"), ("by nc sa", "attribution non ?commercial share ?alike"), ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s")]
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
-#: Sentences that licenses are known by, without their name.
-GRANTS = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use"),
-    ("apache-2.0", "you may not use this file except in compliance with the license", "in compliance with"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "redistribute it"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event", "express or implied"),
-    ("all-rights-reserved", "all rights reserved", "rights reserved"),
-]
 
 
 @dataclass(frozen=True)
@@ -88,13 +79,23 @@ class Rule:
 
 
 def _rule(label: str, priority: int, pattern: str, keywords: list[str], confidence: float) -> Rule:
-    return Rule(label, priority, re.compile(rf"(?<= ){pattern}(?= )".encode()), tuple(k.encode() for k in keywords), confidence)
+    return Rule(label, priority, re.compile(rf" (?:{pattern})(?= )".encode()), tuple(k.encode() for k in keywords), confidence)
+
+
+def _written(lines: str, priority: int, confidence: float) -> Iterator[Rule]:
+    for line in lines.strip().split("\n"):
+        label, keyword, pattern = line.split(" | ")
+        yield _rule(label, 2 if label.endswith("-or-later") and priority > 2 else priority, pattern, [keyword], confidence)
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules by priority: grants, SPDX tags, names with version and clause, names with version, names alone."""
-    out = [_rule(label, 0, text, [key], 0.95) for label, text, key in GRANTS]
+    """All rules by priority: sentences, SPDX tags, names with version and clause, names with version, names alone.
+
+    What is hand-written comes first among those of one priority; the families add their versions and ways of writing."""
+    out = [
+        *_written(license_signatures.GRANTS, 0, 0.95), *_written(license_signatures.EXPRESSIONS, 1, 1.0), *_written(license_signatures.VERSIONED, 3, 0.9), *_written(license_signatures.NAMES, 4, 0.7),
+    ]
     for label, names, versions, keys in FAMILIES:
         short = label.replace("-", " ")
         out.append(_rule(label, 1, rf"spdx license identifier {short}", ["spdx"], 1.0))
@@ -145,38 +146,74 @@ class Detection:
     confidence: float
 
 
-def detect(joined: bytes) -> list[Detection]:
-    """What the rules find in words that are joined by, and stand between, single spaces; sorted by place."""
-    automaton, by = _prefilter()
-    keys = {key for _, key in automaton.iter(joined.decode("utf-8", "replace"))}
-    all_rules = rules()
-    admitted = sorted({i for key in keys for i in by.get(key, ())})
-    found: list[tuple[int, int, Rule]] = []
-    for i in admitted:  # in the order of priority
-        found += [(m.start(), m.end(), all_rules[i]) for m in all_rules[i].pattern.finditer(joined)]
-    found.sort(key=lambda x: (x[2].priority, x[0] - x[1], x[0]))
-    kept: list[tuple[int, int, Rule]] = []
-    for start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in kept):
-            kept.append((start, end, rule))
-    return [Detection(r.label, joined.count(b" ", 0, s) - 1, joined.count(b" ", 0, e), r.confidence) for s, e, r in sorted(kept, key=lambda x: x[:2])]
+def _uncovered(found: list[tuple[int, int, int, Rule]]) -> list[tuple[int, int, int, Rule]]:
+    """Detections (start, end, rule's number, rule) that are not inside one of higher priority, or inside a longer one (of equal
+    ones a later one) of the same. In one sweep by start: who is inside a suppressed one is inside that one's suppressor too."""
+    found.sort(key=lambda x: (x[0], -x[1], x[3].priority, x[2]))
+    reach: dict[int, int] = {}  # priority: furthest end so far
+    kept = []
+    for start, end, number, rule in found:
+        if not any(far >= end for priority, far in reach.items() if priority <= rule.priority):
+            kept.append((start, end, number, rule))
+        reach[rule.priority] = max(reach.get(rule.priority, -1), end)
+    return kept
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """The words between and around single spaces."""
+    return b" " + b" ".join(words) + b" "
+
+
+def detect(joined: bytes, keys: set[str]) -> list[Detection]:
+    """What the rules admitted by some keywords find in joined words, sorted by place."""
+    by, all_rules = _prefilter()[1], rules()
+    found: list[tuple[int, int, int, Rule]] = []
+    for i in sorted({i for key in keys for i in by.get(key, ())}):  # in the order of priority
+        rule = all_rules[i]
+        group = 1 if rule.pattern.groups else 0
+        found += [(m.start(group) + (not group), m.end(group), i, rule) for m in rule.pattern.finditer(joined)]
+    kept = _uncovered(found)
+    if not kept:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+    starts, ends = (np.searchsorted(spaces, [x[k] for x in kept]).tolist() for k in (0, 1))
+    return [Detection(x[3].label, s - 1, e, x[3].confidence) for x, s, e in zip(kept, starts, ends, strict=True)]
+
+
+#: A plus after a number, at the end of a word: `2.0+`.
+_PLUS = re.compile(rb"(?<=[0-9])\+(?![0-9A-Za-z+\x80-\xff])")
 
 
 def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, list[str], list[Detection]]:
-    """(words, base places, first, last, base labels, detections) of a text."""
+    """(words, base places, first, last, base labels, detections) of a text. Linear in the text but for its detections, which are
+    sorted."""
     words = alnum_words(text)
-    joined = b" " + b" ".join(words) + b" "
+    joined = _joined(words)
     automaton, _ = _prefilter()
+    keys = {key for _, key in automaton.iter(joined.decode("latin-1"))}
+    if not keys:
+        return len(words), 0, None, None, [], []
     places: list[int] = []
     labels: set[str] = set()
-    if next(automaton.iter(joined.decode("utf-8", "replace")), None) is None:
-        return len(words), 0, None, None, [], []
     for phrase, label in BASE_PHRASES.items():
-        wanted, at = f" {phrase} ".encode(), -1
-        while (at := joined.find(wanted, at + 1)) >= 0:
-            places.append(joined.count(b" ", 0, at))
+        if phrase not in keys:
+            continue
+        wanted = f" {phrase} ".encode()
+        at = joined.find(wanted)
+        while at >= 0:
+            places.append(at)
             labels.add(label)
-    return len(words), len(places), min(places, default=None), max(places, default=None), sorted(labels), detect(joined)
+            at = joined.find(wanted, at + 1)
+    if places:
+        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 0x20)
+        first, last = np.searchsorted(spaces, [min(places), max(places)]).tolist()
+    else:
+        first = last = None
+    data = utf8(text)
+    if _PLUS.search(data):  # such a plus stays with its word, so words keep their numbers
+        marked = _PLUS.sub(b"\xff", data).lower().translate(SEPARATORS)  # a byte that is never in UTF-8
+        joined = _joined([w.replace(b"\xff", b"+") for w in marked.split()])
+    return len(words), len(places), first, last, sorted(labels), detect(joined, keys)
 
 
 _OUT = pa.schema([
