@@ -6,8 +6,6 @@ once: every window of its words looks its 64-bit hash up, and a hit is verified
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from folioscope.llm.common import WORD_PATTERN, ascii_lower, free_name, quoted
 
 #: Words of a window.
 WINDOW = 10
-#: Most distinct benchmark windows that are broadcast (some 200 bytes each); with more the windows are shuffled by hash.
+#: Most distinct benchmark windows (some 200 bytes each) and ids of items in them that are broadcast, together; with more the
+#: windows are shuffled by hash.
 BROADCAST_WINDOWS = 1_000_000
 
 
@@ -34,10 +33,6 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str =
     return each.groupBy("words", "size").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("words"))
 
 
-def _look(size: int) -> Callable[[Column], Column]:
-    return lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.slice("words", i, F.lit(size))).alias("hash"))
-
-
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
     broadcast_windows: int = BROADCAST_WINDOWS, keep: list[str] | None = None,
@@ -51,34 +46,38 @@ def find_hits(
     names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in ("n_words", "hit_words", "items")]
     windows = benchmark_windows(benchmark, window, item_id, item_text)
     sizes, total = [], 0
-    for size, n in sorted(windows.groupBy("size").count().collect()):  # a row for each size, `window` of them at most
+    for size, n in sorted(windows.groupBy("size").agg(F.sum(1 + F.size("items"))).collect()):  # a row for each size, `window` of them at most
         sizes.append(size)
         total += n
-    row = F.struct(*[c.alias(n) for c, n in zip(quoted(names), names, strict=True)]) if names else F.lit(None)
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), text_words(F.col(text_col)).alias("words"))
-
-    # One row without a window keeps each document in the result; it matches the empty window of the table.
-    probe = "struct<at: int, size: int, hash: bigint>"
-    looks = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"), F.lit(0).cast("long").alias("hash"))).cast(f"array<{probe}>")
-    for size in sizes:
-        starts = F.sequence(F.lit(1), F.size("words") - (size - 1))
-
-        looks = F.concat(looks, F.when(F.size("words") >= size, F.transform(starts, _look(size))).otherwise(F.array().cast(f"array<{probe}>")))
-    probes = texts.select("rid", "row", "words", F.explode(looks).alias("look"))
-    window_words = F.slice("words", F.greatest("look.at", F.lit(1)), F.greatest("look.size", F.lit(1)))
+    row = F.struct(*[c.alias(n) for c, n in zip(quoted(names), names, strict=True)]) if names else F.struct(F.lit(0).alias("none"))
+    texts = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), text_words(F.col(f"`{text_col}`")).alias("words"))
+
+    # A look has its own window's words and no more. The first one of a text has its row instead, and keeps it in the result:
+    # it matches the empty window of the table.
+    def look(at: Column, size: int, own: Column, row: Column, n: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.lit(size).alias("size"), own.alias("own"), row.alias("row"), n.cast("long").alias("n"))
+
+    no_row, no_words = F.when(F.lit(False), F.col("row")), F.lit(None).cast("array<string>")
+
+    def looks_of(size: int) -> Column:
+        starts = F.when(F.size("words") >= size, F.sequence(F.lit(1), F.size("words") - (size - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: look(i, size, F.slice("words", i, F.lit(size)), no_row, F.lit(None)))
+
+    looks = F.concat(F.array(look(F.lit(0), 0, no_words, F.col("row"), F.size("words"))), *[looks_of(size) for size in sizes])
+    probes = texts.select("rid", F.explode(looks).alias("look")).select("rid", "look.*")
+    probes = probes.withColumn("hash", F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.xxhash64("own")))
     none = windows.sparkSession.range(1).selectExpr("cast(array() as array<string>) as words", "0 as size", "cast(array() as array<string>) as items", "0L as hash")
     table = windows.select("words", "size", "items", "hash").unionByName(none).select(*[F.col(c).alias(f"w_{c}") for c in ("words", "size", "items", "hash")])
+    same = (F.col("hash") == F.col("w_hash")) & (F.col("size") == F.col("w_size")) & ((F.col("w_size") == 0) | (F.col("own") == F.col("w_words")))
     if total <= broadcast_windows:
-        # Nothing moves: a window's words are only taken where its hash is in the table.
-        found = probes.withColumn("n", F.size("words")).join(F.broadcast(table), (F.col("look.hash") == F.col("w_hash")) & (F.col("look.size") == F.col("w_size")) & ((F.col("w_size") == 0) | (window_words == F.col("w_words"))))
-    else:
-        # What moves has its own window's words, not its text's.
-        alone = probes.select("rid", F.when(F.col("look.size") == 0, F.col("row")).alias("row"), F.size("words").alias("n"), "look", window_words.alias("own"))
-        found = alone.join(table.hint("merge"), (F.col("look.hash") == F.col("w_hash")) & (F.col("look.size") == F.col("w_size")) & ((F.col("w_size") == 0) | (F.col("own") == F.col("w_words"))))
+        found = probes.join(F.broadcast(table), same)
+    else:  # first looks have one hash, so they stay out of the shuffle
+        first = probes.where("size = 0").select("*", F.array().cast("array<string>").alias("w_words"), F.lit(0).alias("w_size"), F.array().cast("array<string>").alias("w_items"), F.lit(0).cast("long").alias("w_hash"))
+        found = probes.where("size > 0").join(table.where("w_size > 0").hint("merge"), same).unionByName(first)
     hit = F.col("w_size") > 0
-    gathered = found.select("rid", F.when(~hit, F.col("row")).alias("row"), F.when(~hit, F.col("n")).alias("n"), F.when(hit, F.struct("look.at", "look.size")).alias("hit"), "w_items")
+    gathered = found.select("rid", "row", "n", F.when(hit, F.struct("at", "size")).alias("hit"), "w_items")
     per = gathered.groupBy("rid").agg(
-        F.first("row", ignorenulls=True).alias("row"), F.max("n").cast("long").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("w_items").alias("sets")
+        F.first("row", ignorenulls=True).alias("row"), F.max("n").alias("n_words"), F.collect_set("hit").alias("hits"), F.collect_set("w_items").alias("sets")
     )
     places = F.flatten(F.transform("hits", lambda h: F.sequence(h["at"].cast("long") - 1, h["at"].cast("long") + h["size"] - 2)))
     result = per.select("row", "n_words", F.array_sort(F.array_distinct(places)).alias("hit_words"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
