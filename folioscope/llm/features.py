@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def fit(model: Linear, sample: Sample, slope: Callable[[np.ndarray, np.ndarray],
     return model
 
 
-_FEATURES = pa.schema([("label", pa.int32()), ("dense", pa.list_(pa.float64())), ("index", pa.list_(pa.int32())), ("weight", pa.list_(pa.float32()))])
+_FEATURES = pa.schema([("label", pa.int32()), ("key", pa.binary()), ("dense", pa.list_(pa.float64())), ("index", pa.list_(pa.int16())), ("weight", pa.list_(pa.float32()))])
 
 
 def _featurise(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def _featurise(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for label, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 text = text.as_py()
                 at, weight = hashed(text)
-                yield label, style(utf8(text)), at.tolist(), weight.tolist()
+                yield label, xxhash.xxh3_128_digest(utf8(text)), style(utf8(text)), at.astype(np.int16), weight
 
     yield from batches(rows(), _FEATURES, max_rows=256)
 
@@ -155,9 +156,24 @@ def bounded(rows: DataFrame, most: int, key: Column) -> DataFrame:
 
 
 def collect_sample(labelled: DataFrame) -> Sample:
-    """Features of a bounded table (label int, text), on the driver; in a fixed order."""
-    got = labelled.select(F.col("label").cast("int"), "text").mapInArrow(_featurise, "label int, dense array<double>, index array<int>, weight array<float>").toArrow()
-    rows = sorted(zip(*(got.column(k).to_pylist() for k in range(4)), strict=True), key=lambda r: (r[0], r[1], r[2]))
-    sizes = [len(r[2]) for r in rows]
-    joined = lambda k, kind: np.concatenate([np.array(r[k], kind) for r in rows]) if rows else np.empty(0, kind)
-    return Sample(np.array([r[1] for r in rows]).reshape(-1, STYLE), joined(2, np.int32), joined(3, np.float32), np.repeat(np.arange(len(rows)), sizes), np.array([r[0] for r in rows], np.int32))
+    """Features of a bounded table (label int, text), on the driver; in a fixed order, by label, shape and the text's digest.
+
+    What arrives stays in flat arrays: no object is made for a number, and each array is copied once."""
+    got = labelled.select(F.col("label").cast("int"), "text").mapInArrow(_featurise, "label int, key binary, dense array<double>, index array<short>, weight array<float>").toArrow()
+
+    def flat(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """All numbers of a column of lists, and where each row's begin."""
+        chunks = got.column(name).chunks
+        sizes = np.concatenate([np.empty(0, np.int64), *(pc.list_value_length(c).to_numpy() for c in chunks)])
+        return np.concatenate([np.empty(0, kind), *(c.flatten().to_numpy() for c in chunks)]), np.append(0, np.cumsum(sizes))
+
+    label, dense = got.column("label").to_numpy(), flat("dense", np.float64)[0].reshape(-1, STYLE)
+    keys = np.frombuffer(b"".join(got.column("key").to_pylist()), ">u8").reshape(-1, 2)
+    order = np.lexsort((*keys.T[::-1], *dense.T[::-1], label))
+
+    def sorted_by(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        numbers, begin = flat(name, kind)
+        return np.concatenate([np.empty(0, kind), *(numbers[begin[k] : begin[k + 1]] for k in order)]), np.diff(begin)[order]
+
+    index, sizes = sorted_by("index", np.int16)
+    return Sample(dense[order], index, sorted_by("weight", np.float32)[0], np.repeat(np.arange(len(order), dtype=np.int32), sizes), label[order])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import free_name
+from folioscope.llm.common import quoted
 from folioscope.llm.features import Linear, Sample, bounded, collect_sample, fit
 
 #: Texts of each sort that the model is fitted on, about; of more, a hash draws these.
@@ -63,9 +63,9 @@ def fit_quality(positives: DataFrame, unlabelled: DataFrame, id_col: str = "doc_
     chosen = bounded(positives, most_positive, key).select(F.lit(1).alias("label"), text).unionByName(bounded(unlabelled, most_unlabelled, key).select(F.lit(0).alias("label"), text))
     sample = collect_sample(chosen)
     half = np.arange(len(sample)) % 2 == 0  # rows come sorted, so this is an even split of both sorts
-    first, rest = sample.part(half), sample.part(~half)
-    scores = fit_nnpu(first, 0.5, 100).of(rest)[:, 0]
-    prior = estimate_prior(scores[rest.label == 1], scores[rest.label == 0])
+    draft = fit_nnpu(sample.part(half), 0.5, 100)
+    scores, label = draft.of(sample.part(~half))[:, 0], sample.label[~half]
+    prior = estimate_prior(scores[label == 1], scores[label == 0])
     return fit_nnpu(sample, prior), prior
 
 
@@ -73,22 +73,22 @@ def _score(model: Linear, at: int, schema: pa.Schema) -> Callable[[Iterator[pa.R
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             scores = [float(_sigmoid(model.one(text.as_py()))[0]) for text in part.column(at)]
-            yield pa.RecordBatch.from_arrays([pa.array(scores, pa.float64())], names=["score"]) if part.num_columns == 1 else pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1 :], pa.array(scores, pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], *part.columns[at + 1 :], pa.array(scores, pa.float64())], schema=schema)
 
     return run
 
 
-def score_quality(docs: DataFrame, model: Linear, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns of docs (all by default) and `score`, 0 to 1: how likely the text is of the positives' sort.
+def score_quality(docs: DataFrame, model: Linear, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The kept columns of docs (all by default) and score_col, 0 to 1: how likely the text is of the positives' sort.
 
     Only the text is looked at. Null and empty texts get the score of a text without words. Repeated rows get the same
-    score; a column of the name score is replaced. An empty table gives no rows. One pass without a shuffle.
+    score; a column of the name score_col is replaced. An empty table gives no rows. One pass without a shuffle.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() != "score"]
-    text = free_name(docs, "judged")
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias(text))
-    out = rows.drop(text).withColumn("score", F.lit(0.0).cast("double"))
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() != score_col.lower()]
+    # By numbers, since names with dots cannot go through mapInArrow.
+    rows = docs.select(*[c.alias(f"c{k}") for k, c in enumerate(quoted(names))], *[c.alias("judged") for c in quoted([text_col])])
+    out = rows.drop("judged").withColumn("scored", F.lit(0.0).cast("double"))
     schema = to_arrow_schema(out.schema)
-    return rows.mapInArrow(_score(model, len(names), schema), out.schema)
+    return rows.mapInArrow(_score(model, len(names), schema), out.schema).toDF(*names, score_col)
