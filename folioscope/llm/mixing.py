@@ -71,14 +71,15 @@ def domain_posteriors(docs: DataFrame, model: Linear, id_col: str = "doc_id", te
     return rows.mapInArrow(_posteriors(model), "rid long, n_tokens long, posterior array<double>")
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float | list[float] = 0.0, rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, total_factor: float = 1.0, least_rate: float | list[float] = 0.0, most_growth: float | None = None, rounds: int = 100, tolerance: float = 1e-3) -> tuple[DataFrame, list[dict]]:
     """(members with `rate`, figures of each domain).
 
     members: (n_tokens, posterior), of any number of rows. The rates r minimise the squared error of the domains' expected
     tokens, the sum of r * n_tokens * posterior, against their targets, weighed by the inverse of the matrix of the
     posteriors' products (the sum of n_tokens * posterior * posterior'). A domain's target is its weight times `total` tokens
     (by default total_factor times all tokens), subject to r >= least_rate; of a list, a row's least rate is that of the domain
-    that leads its posterior, the first of equal ones. Of the rates that do, those nearest to 1 (to the least rate, if that is
+    that leads its posterior, the first of equal ones. With most_growth, no target is more than
+    the domain gets when the rows that it leads have that rate and all others 1. Of the rates that do, those nearest to 1 (to the least rate, if that is
     more) are taken: that plus the posterior's mean of k prices, or the least rate if that is more. The prices are found by Newton
     steps on the dual, whose penalty is made smaller until the targets are met, or stay missed whatever the penalty. Each
     round sums the domains' tokens and products over the table, and only k (k + 3) / 2 sums come to the driver. A target that
@@ -101,6 +102,9 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     tokens, at_one = float(got[0] or 0), np.array([float(x or 0) for x in got[1 : k + 1]])
     share = np.array(weights, float) / max(sum(weights), 1e-12)
     target = share * (tokens * total_factor if total is None else total)
+    if most_growth is not None:
+        led = members.agg(*[F.sum(F.when(leads == j + 1, F.col("n_tokens") * x)) for j, x in enumerate(p)]).first()
+        target = np.minimum(target, at_one + (most_growth - 1) * np.array([float(x or 0) for x in led]))
     # In these coordinates the dual's second derivative is 1 where no rate is at its bound.
     size, axes = np.linalg.eigh(matrix(got[k + 1 :]))
     kept = size > 1e-9 * max(size.max(initial=0.0), 1e-300)
@@ -155,18 +159,18 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     return members.withColumn("rate", rates(at)), figures
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, total_factor: float = 1.0, least_rate: float | dict[str, float] = 0.0, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
+def mixture(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None, total_factor: float = 1.0, least_rate: float | dict[str, float] = 0.0, most_growth: float | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """(rid, n_tokens, posterior, rate), a row for each row of docs; posteriors in the order of `weights`.
 
     Null and empty texts have no tokens and still a posterior and rate. Repeated rows get the same rate; null ids stay.
     Without labelled rows posteriors are even. An empty table gives no rows. least_rate may name a
-    least rate for the rows that each domain leads, 0 for others. Warns of domains whose target is missed.
+    least rate for the rows that each domain leads, 0 for others; most_growth bounds the domains' targets. Warns of domains whose target is missed.
     """
     domains = list(weights)
     model = fit_domains(labelled, domains, id_col, text_col, domain_col)
     members = stored(domain_posteriors(docs, model, id_col, text_col), "members")
     least = [least_rate.get(d, 0.0) for d in domains] if isinstance(least_rate, dict) else least_rate
-    rated, figures = fit_rates(members, list(weights.values()), total, total_factor, least)
+    rated, figures = fit_rates(members, list(weights.values()), total, total_factor, least, most_growth)
     for name, x in zip(domains, figures, strict=True):
         if abs(x["expected"] - x["target"]) > 0.01 * x["target"]:
             warnings.warn(f"mixture: {name} has {x['expected']:.0f} expected tokens, its target is {x['target']:.0f}", stacklevel=2)

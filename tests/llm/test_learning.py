@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.llm import mixing, quality, queries, warc_store
+from folioscope.llm import common, mixing, quality, queries, warc_store
 from folioscope.llm.features import Sample
 from tests.llm import brute
 
@@ -94,6 +94,15 @@ def test_rates_meet_targets_of_a_dominant_domain(spark, kind):
     assert out["rate"].min() >= 0 and np.allclose(expected, np.array([0.9, 0.07, 0.03]) * out["n_tokens"].sum(), rtol=0.01)
 
 
+def test_domains_grow_within_bounds(spark):
+    draw = np.random.default_rng(3)
+    rows = [(k, 100, [0.98, 0.01, 0.01]) for k in range(300)] + [(300, 5, [0.02, 0.96, 0.02])] + [(301 + k, 100, [0.02, 0.01, 0.97]) for k in range(20)]
+    df = spark.createDataFrame([rows[k] for k in draw.permutation(len(rows))], "rid long, n_tokens long, posterior array<double>")
+    got, figures = mixing.fit_rates(df, [0.9, 0.07, 0.03], total_factor=1.25, least_rate=[1.0, 0.0, 0.0], most_growth=4.0)
+    assert abs(figures[1]["target"] - (5 * 0.96 * 4 + 300 + 20)) < 1e-6 and got.agg(F.max("rate")).first()[0] < 20
+    assert abs(figures[2]["expected"] / figures[2]["target"] - 1) < 0.01
+
+
 def test_rates_that_do_not_settle_are_an_error(spark):
     with pytest.raises(RuntimeError, match="did not settle"):
         mixing.fit_rates(members(spark), [1, 0, 0], 20000.0, rounds=1)
@@ -140,7 +149,9 @@ def test_sample_is_dealt_whole():
     assert [len(part) for _, part in s.part(s.label > 9).dealt(2)] == [0]
 
 
-def test_archive_round_trip(spark, sf, tmp_path):
+@pytest.mark.parametrize("hot_keys", [1000, 7])
+def test_archive_round_trip(spark, sf, tmp_path, monkeypatch, hot_keys):
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
     rows = [tuple(r) for r in pages.collect()]
     rows += [(9001, "u", None), (9000, None, ""), (9002, "a\r\nb", rows[3][2]), (9003, "é", "ß" * 9), (9004, "v", "ß" * 9)]
