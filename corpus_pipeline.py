@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import decontaminate, mixing, near_dedup, quality, sharding
-from folioscope.llm.common import stored
+from folioscope.llm.common import free_name, quoted, stored
 from folioscope.llm.queries import DOMAINS, domain_labels, table
 
 #: Documents whose score is lower are rejected.
@@ -15,6 +15,8 @@ LEAST_SCORE = 0.3
 NEAR_PERCENT = 80
 #: Tokens of the mixture, for each token that comes in.
 MIX_TOKENS = 1.25
+#: Times the tokens that a domain has when it comes in, up to which it is to grow: few documents are not repeated for ever.
+MOST_GROWTH = 4.0
 #: Documents whose posterior clean leads all stay; of others as many as the targets leave room for.
 LEAST_RATES = {"clean": 1.0}
 
@@ -26,8 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     positives = texts.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     unlabelled = texts.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
     model, _ = quality.fit_quality(positives, unlabelled)
-    # Rows without a score of their own column: a column named score in docs would be replaced.
-    return quality.score_quality(docs, model).where(F.col("score") >= LEAST_SCORE).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.score_quality(docs, model, score_col=score).where(F.col(score) >= LEAST_SCORE).select(*quoted(docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +44,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, repeated or left out by their rates: the domains' expected tokens meet their targets as nearly as rates of
-    1 and more for clean documents, and of 0 and more for others, allow."""
+    1 and more for clean documents, and of 0 and more for others, allow. A domain grows to MOST_GROWTH times at most."""
     labelled = domain_labels(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=LEAST_RATES)
+    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=LEAST_RATES, most_growth=MOST_GROWTH)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ STAGES = [
     ("sharding", sharding_stage),
 ]
 
-#: Learning, sampling and shuffling have no SQL; the tests hold each stage against plain versions.
+#: Learning, sampling and shuffling have no SQL; tests/llm/test_pipeline.py holds each stage and the run against plain versions.
 ORACLE_SQL = None
 
 
