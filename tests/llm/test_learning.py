@@ -121,6 +121,14 @@ def test_mixing_repeats_and_keeps_columns(spark, sf):
     assert mixing.mixture(odd, labelled.limit(0), {"clean": 1.0, "low": 1.0}).count() == 4
 
 
+def test_no_row_is_repeated_too_often(spark):
+    rows = [(k, f"clean words number {k} of a clean text") for k in range(40)] + [(40, "low")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = docs.withColumn("domain", F.when(F.col("doc_id") == 40, "low").otherwise("clean"))
+    mixed = mixing.mix(docs, labelled, {"clean": 0.5, "low": 0.5}, most_rate=4.0)
+    assert mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 4
+
+
 def test_posteriors_on_held_out_labels(spark, larger):
     docs, labels = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "labels"))
     known = queries.domain_labels(docs, labels)
