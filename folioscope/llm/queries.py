@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import decontaminate, exact_dedup, licenses, mixing, near_dedup, quality, secrets, sharding, suffix_dedup, warc_store
+from folioscope.llm import (
+    collocations,
+    decontaminate,
+    edit_embedding,
+    exact_dedup,
+    licenses,
+    mixing,
+    near_dedup,
+    quality,
+    ranked_search,
+    secrets,
+    sharding,
+    suffix_dedup,
+    warc_store,
+)
 
 #: Domains that labels define, with the share of tokens that each is to have in the mixture.
 DOMAINS = {"clean": 0.9, "low": 0.07, "toxic": 0.03}
@@ -97,10 +111,25 @@ def op10_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_scan_secrets, op6_shard, op7_quality, op8_warc_store, op9_suffix_dedup, op10_scan_licenses)
-}
+    for f in (
+        op1_mix_sources, op2_decontaminate, op3_near_dedup, op4_exact_dedup, op5_scan_secrets, op6_shard, op7_quality, op8_warc_store, op9_suffix_dedup, op10_scan_licenses,
+        op11_edit_fingerprints, op12_ranked_search, op13_collocations,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -119,6 +148,37 @@ found as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as s
 select doc_id, len(w)::bigint as n_words, coalesce(covered.n, 0)::bigint as n_hit, coalesce(found.n, 0)::bigint as n_items,
        sha256(coalesce(found.s, '')) as items_sha256, covered.n is not null as contaminated
 from docs left join covered using (doc_id) left join found using (doc_id)""",
+    "op12_ranked_search": f"""
+with docs as (select doc_id, {_WORDS} as w from documents),
+n as (select count(*) filter (len(w) > 0)::bigint as n_docs, sum(len(w))::bigint as n_terms from docs),
+items as (select distinct item_id, unnest({_WORDS}) as t from benchmark),
+tf as (select doc_id, len(w)::bigint as n, t, count(*)::bigint as tf from (select doc_id, w, unnest(w) as t from docs) where t in (select t from items) group by all),
+df as (select t, count(*) as df from tf group by t),
+weight as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as weight from df, n),
+scored as (select item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n.n_docs * tf.n) // n.n_terms))))::bigint as score
+           from items join tf using (t) join weight using (t), n group by item_id, doc_id),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 50""",
+    "op13_collocations": f"""
+with lists as (select coalesce(lang, 'und') as lang, unnest(list_transform(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]'), lambda x: regexp_extract_all(x, '[^\\x20\\x09]+'))) as w from documents),
+n as (select lang, sum(len(w))::bigint as n from lists group by lang),
+pieces as (select lang, w, row_number() over () as piece from lists),
+each as (select lang, piece, unnest(w) as w1, generate_subscripts(w, 1) as i from pieces),
+runs as (select lang, w1, lead(w1, 1) over z as w2, lead(w1, 2) over z as w3, lead(w1, 3) over z as w4 from each window z as (partition by piece order by i)),
+phrases as (select lang, 1 as words, w1 as phrase from runs
+            union all select lang, 2, concat_ws(' ', w1, w2) from runs where w2 is not null
+            union all select lang, 3, concat_ws(' ', w1, w2, w3) from runs where w3 is not null
+            union all select lang, 4, concat_ws(' ', w1, w2, w3, w4) from runs where w4 is not null),
+f as (select lang, words, phrase, count(*)::bigint as f from phrases group by all having count(*) >= 30),
+c as (select *, string_split(phrase, ' ') as w from f where words > 1),
+cuts as (select c.lang, c.phrase, c.f as a, k, l.f as l, r.f as r, ((2000000::hugeint * c.f) // (l.f + r.f))::bigint as score
+         from c, unnest(range(1, c.words)) u(k), f l, f r
+         where l.lang = c.lang and l.phrase = array_to_string(c.w[:k], ' ') and r.lang = c.lang and r.phrase = array_to_string(c.w[k + 1:], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_ as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(f) as longer from c, unnest([2, 3]) q(m), unnest(range(1, c.words - m + 2)) u(i) where m < c.words group by all),
+kept as (select best.* from best left join inner_ using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000""",
     "op4_exact_dedup": f"""
 with n as (select doc_id, {_LOWER} as t from documents), g as (select t, max(doc_id) as keep_id, count(*) as group_size from n group by t)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from n join g using (t)""",
