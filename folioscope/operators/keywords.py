@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.config import IndexConfig
 from folioscope.functions.text import keyword_pattern, nfkc, nfkc_text, stripped
 from folioscope.sources.tables import labelled_pages
+from folioscope.storage import stored
 
 #: Patterns that are tried in one projection; longer lists are matched in several.
 PATTERNS = 200
@@ -45,6 +49,86 @@ def keyword_hits(pages: DataFrame, keywords: list[str], config: IndexConfig | No
     return reduce(DataFrame.unionByName, [some(b) for b in range(0, len(names), PATTERNS)])
 
 
+#: Keywords that are matched in one pass over the pages: their table is sent to every task. More are matched in several.
+MOST_LISTED = 500_000
+_RUNS = re.compile(r"\w+|\W+")
+_LISTED = pa.schema([("book_id", pa.string()), ("page_idx", pa.int32()), ("page_label", pa.string()), ("ords", pa.list_(pa.int64()))])
+
+
+class _Folds(dict):
+    """Each character in lower case of its upper case, where these are one character: what a pattern without case compares."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        upper = char.upper() if len(char.upper()) == 1 else char
+        self[code] = found = "i" if upper == "İ" else upper.lower()
+        return found
+
+
+_FOLDS = _Folds()
+
+
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_FOLDS)
+
+
+def _listed(table: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(book_id, page_idx, page_label, ords) of pages with the numbers of the keywords on them; table: (ord, NFKC form).
+
+    A keyword stands as whole words where its runs of word characters and of others are whole runs of the page: it begins and
+    ends where the kind of character changes. So pages and keywords meet by their first run and number of runs; one that
+    begins with another character than a word's needs a word before it, and likewise at its end."""
+    words: dict[str, list[int]] = {}
+    longer: dict[str, dict[int, dict[str, list[int]]]] = {}
+    for number, form in table:
+        runs = _RUNS.findall(folded(form))
+        if len(runs) == 1 and runs[0][0].isalnum() | (runs[0][0] == "_"):
+            words.setdefault(runs[0], []).append(number)
+        else:
+            longer.setdefault(runs[0], {}).setdefault(len(runs), {}).setdefault("".join(runs), []).append(number)
+
+    def is_word(run: str) -> bool:
+        return run[0].isalnum() or run[0] == "_"
+
+    def on_page(text: str) -> list[int]:
+        runs = _RUNS.findall(folded(text))
+        found = {n for run in words.keys() & set(runs) for n in words[run]}
+        for at, first in enumerate(runs):
+            for size, forms in longer.get(first, {}).items():
+                own = runs[at : at + size]
+                if len(own) == size and (numbers := forms.get("".join(own))) and (at or is_word(first)) and (at + size < len(runs) or is_word(own[-1])):
+                    found.update(numbers)
+        return sorted(found)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ords = [on_page(text.as_py()) for text in part.column(3)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ords, _LISTED.field(3).type)], schema=_LISTED)
+
+    return run
+
+
+def keyword_list_hits(pages: DataFrame, words: DataFrame, config: IndexConfig | None = None, most: int = MOST_LISTED) -> DataFrame:
+    """occ(book_id, term, page_idx, page_label, ord), as keyword_hits has it, of a long list: words(ord, word), distinct ords.
+
+    Each `most` keywords take one pass over the pages, whatever their number, and no shuffle of the pages. Blank keywords are
+    left out; of one NFKC form the last spelling counts, in the first's place."""
+    config = config or IndexConfig()
+    text = nfkc(F.coalesce("text", F.lit("")))
+    own = labelled_pages(pages, config).select(F.col("book_id").cast("string"), F.col("page_idx").cast("int"), "page_label", text.alias("text"))
+    trimmed = words.select("ord", stripped(F.col("word")).alias("word")).where(F.length("word") > 0)
+    names = trimmed.groupBy(nfkc(F.col("word")).alias("form")).agg(F.max_by("word", "ord").alias("term"), F.min("ord").cast("long").alias("ord"))
+    names = stored(names, "keywords")
+    blocks = max(1, -(-names.count() // most))
+    dealt = names.withColumn("block", F.pmod(F.xxhash64("form"), F.lit(blocks)))
+    found = None
+    for k in range(blocks):
+        table = [(r["ord"], r["form"]) for r in dealt.where(F.col("block") == k).select("ord", "form").collect()]
+        hits = own.mapInArrow(_listed(table), "book_id string, page_idx int, page_label string, ords array<long>").select("book_id", "page_idx", "page_label", F.explode("ords").alias("ord"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.join(names.select("ord", "term"), "ord").select("book_id", "term", "page_idx", "page_label", "ord")
+
+
 def sort_and_dedup(words: DataFrame) -> DataFrame:
     """(ord, word): of words alike but for case the first spelling, sorted by lower case. words: (ord, word)."""
     trimmed = words.select("ord", stripped(F.col("word")).alias("word")).where(F.length("word") > 0)

@@ -116,6 +116,24 @@ def page_words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
 
 
+def highlight_forms(terms: DataFrame) -> DataFrame:
+    """(ord, term, n, words, caps): forms of terms(ord, term) to look for, with n words in lower case and which of them want a
+    capital. A term with `, ` in it has a second form with what follows put first."""
+    normal = terms.select("ord", "term", nfkc(F.col("term")).alias("form"))
+    turned = F.when(F.col("form").contains(", "), F.regexp_replace("form", "(?s)^(.*?), (.*)$", "$2 $1"))
+    forms = normal.select("ord", "term", F.explode(F.array_compact(F.array("form", turned))).alias("form"))
+    wanted = forms.select("ord", "term", _bare(page_words(F.col("form"))).alias("w")).where(F.size("w") > 0)
+    return wanted.select("ord", "term", F.size("w").alias("n"), F.transform("w", F.lower).alias("words"), _caps(F.col("w")).alias("caps"))
+
+
+def _bare(words: Column) -> Column:
+    return F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
+
+
+def _caps(words: Column) -> Column:
+    return F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
+
+
 def highlights(pages: DataFrame, terms: DataFrame) -> DataFrame:
     """(book_id, page_idx, at, term): words of a page that a term covers; of several terms the last owns the word.
 
@@ -123,25 +141,16 @@ def highlights(pages: DataFrame, terms: DataFrame) -> DataFrame:
     and EDGE is taken off each word; what is then empty still takes its place. A word of a term that is capitalised wants a
     capitalised word. Runs of words, as long as terms are, are joined to the terms.
     """
-
-    def bare(words: Column) -> Column:
-        return F.transform(words, lambda w: F.btrim(w, F.lit(EDGE)))
-
-    normal = terms.select("ord", "term", nfkc(F.col("term")).alias("form"))
-    turned = F.when(F.col("form").contains(", "), F.regexp_replace("form", "(?s)^(.*?), (.*)$", "$2 $1"))
-    forms = normal.select("ord", "term", F.explode(F.array_compact(F.array("form", turned))).alias("form"))
-    wanted = forms.select("ord", "term", bare(page_words(F.col("form"))).alias("w")).where(F.size("w") > 0)
-    caps = lambda words: F.transform(words, lambda w: w.rlike(r"^\p{Lu}"))
-    wanted = wanted.select("ord", "term", F.size("w").alias("n"), F.lower(F.array_join("w", " ")).alias("key"), F.lower(F.col("w")[0]).alias("first"), caps(F.col("w")).alias("caps"))
+    wanted = highlight_forms(terms).select("ord", "term", "n", F.array_join("words", " ").alias("key"), F.col("words")[0].alias("first"), "caps")
     sizes = sorted(r[0] for r in wanted.select("n").distinct().collect())  # lengths of terms in words
     firsts = [r[0] for r in wanted.select("first").distinct().limit(FIRST_WORDS + 1).collect()]
-    own = pages.select("book_id", "page_idx", bare(page_words(nfkc(F.col("text")))).alias("words"))
+    own = pages.select("book_id", "page_idx", _bare(page_words(nfkc(F.col("text")))).alias("words"))
     starts = F.transform("words", lambda w, i: F.struct(i.alias("at"), F.lower(w).alias("first")))
     if len(firsts) <= FIRST_WORDS:
         starts = F.filter(starts, lambda s: s["first"].isin(*firsts) if firsts else F.lit(False))
     runs = F.flatten(F.transform(starts, lambda s: F.array(*[F.struct(s["at"].alias("at"), F.lit(n).alias("n"), F.slice("words", s["at"] + 1, F.lit(n)).alias("run")) for n in sizes or [1]])))
     run = own.select("book_id", "page_idx", F.explode(runs).alias("t")).where(F.size("t.run") == F.col("t.n")).select("book_id", "page_idx", "t.at", "t.n", F.lower(F.array_join("t.run", " ")).alias("key"), F.col("t.run").alias("run"))
-    fits = F.forall(F.zip_with("caps", caps(F.col("run")), lambda wants, has: ~wants | has), lambda x: x)
+    fits = F.forall(F.zip_with("caps", _caps(F.col("run")), lambda wants, has: ~wants | has), lambda x: x)
     hit = run.join(wanted, ["n", "key"]).where(fits)
     each = hit.select("book_id", "page_idx", "ord", "term", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
     return each.groupBy("book_id", "page_idx", "at").agg(F.max_by("term", "ord").alias("term"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from folioscope.plans.queries import ORACLE_SQL, QUERIES
+from folioscope.plans.registry import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
