@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import batches, stored
@@ -31,8 +31,10 @@ LEAST = 0.8
 WALK_CHARS, WALK_ROWS, FEW_ROWS = 16 << 20, 8192, 24
 #: Steps between looks at which rows have ended.
 STRIDE = 512
-#: Bytes of text in a part of the ordered rows.
-PART_BYTES = 16 << 20
+#: Bytes of text in a part of the ordered rows, on average, while parts are fewer than MOST_PARTS.
+PART_BYTES, MOST_PARTS = 4 << 20, 10_000
+#: Ids for each part, or so, that a hash draws to find the parts' bounds.
+DRAWN = 64
 #: What a sample of each class is written as.
 SYMBOLS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
 _SEED = 0x5EED
@@ -203,25 +205,35 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """((part, guest, doc_id, text), number of parts): rows in parts of falling ids, and at the end of each part, as a guest, the
     row that follows it; after the last part follows the first row of all."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // part_bytes))
-    # Bounds by ids only: a sketch, of which the driver gets n - 1 numbers.
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)}, reverse=True) if n > 1 else []
-    order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), F.coalesce("text", F.lit("")))
-    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: F.col("doc_id") < b)) if bounds else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(above).cast("int")
+    n_rows, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(1, min(MOST_PARTS, n_rows, -(-(size or 0) // part_bytes)))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_rows // (DRAWN * n)))) == 0).select("doc_id").where("doc_id is not null")
+    drawn = sorted((r[0] for r in some.collect()), reverse=True) if n > 1 else []  # some DRAWN * n ids
+    bounds = sorted({drawn[k * len(drawn) // n] for k in range(1, n)} if drawn else set(), reverse=True)
+    # A row's part is how many bounds are larger than its id: of every step-th one first, then of those up to the next.
+    step = max(1, round(len(bounds) ** 0.5))
+    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+
+    def larger(of: Column) -> Column:
+        return F.size(F.filter(of, lambda b: b > F.col("doc_id")))
+
+    part: Column = F.lit(0)
+    if bounds:
+        block = F.greatest(larger(F.array(*[F.lit(b[0]) for b in blocks])), F.lit(1))
+        part = (block - 1) * step + larger(F.element_at(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), block))
+    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds))).otherwise(part).cast("int")
     dealt = rows.select(part.alias("part"), "doc_id", "text")
-    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # a number for each part
-    used = sorted(tops)
-    if not used:
-        return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text"), 1
-    before = {p: used[k - 1] for k, p in enumerate(used)}  # the part that each part's first row is a guest of
-    # Each part's first row: the first of the rows of its largest id.
-    first = dealt.where(" or ".join(f"(part = {p} and doc_id <=> {'null' if t is None else t})" for p, t in tops.items()))
-    heads = first.groupBy("part").agg(F.max_by(F.struct("doc_id", "text"), order).alias("head"))
-    to = F.element_at(F.create_map(*[F.lit(x) for p in used for x in (p, before[p])]), F.col("part"))
-    guests = heads.select(to.alias("part"), F.lit(True).alias("guest"), "head.doc_id", "head.text")
-    return dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text").unionByName(guests), len(used)
+    own = dealt.select("part", F.lit(False).alias("guest"), "doc_id", "text")
+    tops = sorted((r["part"], r["top"]) for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect())  # a number for each part
+    if not tops:
+        return own, 1
+    # The first row of each part, the first of the rows of its largest id, is a guest of the part before.
+    to = [(p, top, tops[k - 1][0]) for k, (p, top) in enumerate(tops)]
+    table = rows.sparkSession.createDataFrame(to, "part int, top long, to int")
+    first = dealt.join(F.broadcast(table), "part").where(F.col("doc_id").eqNullSafe(F.col("top")))
+    order = F.coalesce("text", F.lit(""))
+    guests = first.groupBy("to", "doc_id").agg(F.max(order).alias("text")).select(F.col("to").alias("part"), F.lit(True).alias("guest"), "doc_id", "text")
+    return own.unionByName(guests), len(tops)
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
