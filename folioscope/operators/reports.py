@@ -12,9 +12,12 @@ from folioscope.functions.text import W, casefold, word_tokens
 from folioscope.operators.graph import components
 from folioscope.operators.index import page_counts
 from folioscope.operators.merge import contained_pairs
+from folioscope.storage import stored
 
 REPORTS = ("similar_terms", "overlapping_terms", "capitalization_variants", "formatting_variants", "unused_include_terms", "thin_entries", "dense_entries", "shared_page_sets", "acronym_pairs")
 MOST_SIMILAR, MOST_SHARED = 600, 2000
+#: Pages that are numbered together where a term's pages are put in order.
+PAGE_BLOCK = 4096
 
 
 def _subset(a: str | Column, b: str | Column) -> Column:
@@ -107,6 +110,19 @@ def dense(index: DataFrame, least: int = 20) -> DataFrame:
     return counts.withColumn("note", F.concat(F.col("n_pages").cast("string"), F.lit(" pages")))
 
 
+def _ranked(rows: DataFrame, block: int = PAGE_BLOCK) -> DataFrame:
+    """rows (book_id, term, page_idx, busy, ...) with `nth`, a page's number from 1 among its term's pages by busy and page_idx.
+
+    Pages are numbered within blocks, and blocks by how many pages are before them, so that no task orders all of a term."""
+    dealt = rows.withColumn("block", F.expr(f"page_idx div {int(block)}"))
+    keys = ["book_id", "term", "busy", "block"]
+    before = Window.partitionBy("book_id", "term").orderBy("busy", "block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*keys).agg(F.count("*").alias("size"))
+    starts = stored(sizes.select(*keys, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "page-blocks")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("page_idx"))
+    return dealt.withColumn("inside", inside).join(starts, keys).withColumn("nth", F.col("start") + F.col("inside")).drop("block", "inside", "start")
+
+
 def shared_pages(occ: DataFrame, least: float = 0.8, max_entries: int | None = MOST_SHARED) -> DataFrame:
     """(book_id, a, b, note): terms whose page sets have a Jaccard similarity of `least` or more and none of whose words are all
     the other's. A term without words is left out, as its words are among all others'.
@@ -114,12 +130,14 @@ def shared_pages(occ: DataFrame, least: float = 0.8, max_entries: int | None = M
     Pages are ordered by how few terms they have; similar sets share a page among each one's first pages, so only those meet.
     Pairs that have met are one, and are sifted by their sizes and words, before their common pages are counted by a join.
     """
-    sized = occ.select("book_id", "term", "page_idx").distinct().join(occ.groupBy("book_id", "term").agg(F.countDistinct("page_idx").alias("n")), ["book_id", "term"])
+    # Counts are stored, so that their joins with a term or page of very many rows are between scans, and can split it.
+    counts = stored(occ.groupBy("book_id", "term").agg(F.countDistinct("page_idx").alias("n")), "term-pages")
+    sized = occ.select("book_id", "term", "page_idx").distinct().join(counts, ["book_id", "term"])
     if max_entries is not None:
         sized = sized.join(_books(occ, max_entries), "book_id", "left_semi")
-    busy = sized.groupBy("book_id", "page_idx").agg(F.count("*").alias("busy"))
-    nth = F.row_number().over(Window.partitionBy("book_id", "term").orderBy("busy", "page_idx"))
-    first = sized.join(busy, ["book_id", "page_idx"]).withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    busy = stored(sized.groupBy("book_id", "page_idx").agg(F.count("*").alias("busy")), "page-terms")
+    ranked = _ranked(sized.join(busy, ["book_id", "page_idx"]))
+    first = ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     x = first.select("book_id", "page_idx", F.col("term").alias("a"), F.col("n").alias("na"))
     y = first.select("book_id", "page_idx", F.col("term").alias("b"), F.col("n").alias("nb"))
     met = x.join(y, ["book_id", "page_idx"]).where("a < b").where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("book_id", "a", "b", "na", "nb").distinct()
