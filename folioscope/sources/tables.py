@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.config import IndexConfig
 from folioscope.functions.text import stripped
+from folioscope.sources.index_json import read_index  # noqa: F401
 
 
 def documents_as_book(docs: DataFrame) -> DataFrame:
@@ -52,18 +53,6 @@ def split_excludes(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 
 
-def read_index(spark: SparkSession, path: str, book_id: str = "book") -> DataFrame:
-    """occ(book_id, term, page_idx, page_label) of an index's JSON object {term: [[place, label], ...]}, or of a folder that
-    render.write_json made, with its books."""
-    lines = spark.read.text(path).select("*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("nth")).alias("place"))
-    own = F.col("book_id").cast("string") if "book_id" in lines.columns else F.lit(book_id)
-    # An index is one object, so a book is read as a whole.
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"])
-    whole = lines.groupBy(own.alias("book_id")).agg(F.array_join(ordered, "\n").alias("text"))
-    entries = whole.select("book_id", F.explode(F.from_json("text", "map<string, array<array<string>>>")).alias("term", "pages"))
-    return entries.select("book_id", "term", F.explode("pages").alias("p")).select("book_id", "term", F.col("p")[0].cast("int").alias("page_idx"), F.col("p")[1].alias("page_label"))
-
-
 def legacy_types(words: DataFrame) -> DataFrame:
     """(name, type) of the older list of proper names (word), all of which are places and things."""
     return words.select(F.lower("word").alias("name"), F.lit("place_thing").alias("type")).distinct()
