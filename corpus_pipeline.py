@@ -15,9 +15,7 @@ LEAST_SCORE = 0.3
 NEAR_PERCENT = 80
 #: Tokens of the mixture, for each token that comes in.
 MIX_TOKENS = 1.25
-#: Times the tokens that a domain has when it comes in, up to which it is to grow: few documents are not repeated for ever.
-MOST_GROWTH = 4.0
-#: Times that a document is repeated at most.
+#: Bound of the rates inside the fit: few documents are not repeated for ever, and the fit does what it can within that.
 MOST_RATE = 4.0
 #: Documents whose posterior clean leads all stay; of others as many as the targets leave room for.
 LEAST_RATES = {"clean": 1.0}
@@ -45,10 +43,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents, repeated or left out by their rates: the domains' expected tokens meet their targets as nearly as rates of
-    1 and more for clean documents, and of 0 and more for others, allow. A domain grows to MOST_GROWTH times at most."""
+    """Documents, repeated or left out by their rates: the domains' expected tokens meet their targets as nearly, by least squares, as
+    rates of 1 to MOST_RATE for clean documents, and of 0 to MOST_RATE for others, allow."""
     labelled = domain_labels(docs, table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=LEAST_RATES, most_growth=MOST_GROWTH, most_rate=MOST_RATE)
+    return mixing.mix(docs, labelled, DOMAINS, total_factor=MIX_TOKENS, least_rate=LEAST_RATES, most_rate=MOST_RATE)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
