@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD_PATTERN, ascii_lower, free_name, quoted
+from folioscope.llm.common import WORD_PATTERN, ascii_lower, free_name, quoted, stored
 
 #: Words of a window.
 WINDOW = 10
@@ -26,7 +26,8 @@ def text_words(text: Column) -> Column:
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(words, size, items, hash): each distinct window with the items that have it. An item of fewer words than a
     window, but not none, is one window."""
-    words = benchmark.select(F.col(id_col).cast("string").alias("item"), text_words(F.col(text_col)).alias("words")).where(F.size("words") > 0)
+    item, text = quoted([id_col, text_col])
+    words = benchmark.select(item.cast("string").alias("item"), text_words(text).alias("words")).where(F.size("words") > 0)
     sized = words.withColumn("size", F.least(F.size("words"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("words") - F.col("size") + 1)
     each = sized.select("item", "size", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.col("size")))).alias("words"))
@@ -50,7 +51,10 @@ def find_hits(
         sizes.append(size)
         total += n
     row = F.struct(*[c.alias(n) for c, n in zip(quoted(names), names, strict=True)]) if names else F.struct(F.lit(0).alias("none"))
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), text_words(F.col(f"`{text_col}`")).alias("words"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), *[c.alias("text") for c in quoted([text_col])])
+    if total > broadcast_windows:  # read twice below, so the numbers are written down: a task that runs again must not give others
+        numbered = stored(numbered, "numbered")
+    texts = numbered.select("rid", "row", text_words(F.col("text")).alias("words"))
 
     # A look has its own window's words and no more. The first one of a text has its row instead, and keeps it in the result:
     # it matches the empty window of the table.

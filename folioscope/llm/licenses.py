@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import license_signatures
-from folioscope.llm.common import SEPARATORS, alnum_words, batches, utf8
+from folioscope.llm.common import SEPARATORS, alnum_words, batches, quoted, utf8
 
 # The base phrases and their labels.
 BASE_PHRASES = {
@@ -239,7 +239,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     suppression. Null and empty texts have no words and no labels; repeated rows give repeated results; an empty table
     gives none; other columns are not read. One pass without a shuffle: a text is scanned where it is read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own, text = quoted([id_col, text_col])
+    rows = docs.select(own.cast("long").alias("id"), text.alias("text"))
     return rows.mapInArrow(
         _scan,
         "id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "

@@ -275,3 +275,19 @@ def test_empty_tables(empty, spark):
     assert near_dedup.near_groups(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
     assert decontaminate.find_hits(empty, bench).count() == 0 and suffix_dedup.repeated_spans(empty).count() == 0
     assert secrets.labelled_samples(empty).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_decontamination_of_dotted_names_and_shuffled_input(spark, broadcast):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(k, f"{k} {text}" if k % 3 == 0 else f"nothing in text {k}") for k in range(300)], "`doc.id` long, `the.text` string")
+    bench = spark.createDataFrame([(7, text)], "`item.id` long, `a.text` string")
+    shuffled = docs.repartition(13).withColumn("place", F.rand(3)).orderBy("place").drop("place")
+    got = decontaminate.find_hits(shuffled, bench, text_col="the.text", item_id="item.id", item_text="a.text", broadcast_windows=broadcast).collect()
+    assert len(got) == 300
+    assert all(bool(r["hit_words"]) == (r["doc.id"] % 3 == 0) and r["the.text"].split()[0 if r["doc.id"] % 3 == 0 else 3] == str(r["doc.id"]) for r in got)
+
+
+def test_licenses_of_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "the MIT License")], "`doc.id` long, `the.text` string")
+    assert licenses.scan_licenses(docs, "doc.id", "the.text").first()["base_labels"] == ["mit"]
