@@ -82,13 +82,14 @@ Step = tuple[np.ndarray, float] | None
 
 
 def _state(part: pa.RecordBatch, steps: list[Step], least: np.ndarray, most: float) -> tuple[np.ndarray, ...]:
-    """(n_tokens, posteriors, least, most, rate, start of the next step) of rows (n_tokens, posterior, rate, start) after steps."""
+    """(n_tokens, posteriors, least, most, rate, start of the next step) of rows (n_tokens, posterior, rate, start) after steps; without
+    the last two they begin at 1, or at the bound next to it."""
     k = len(least)
     n = part.column(0).to_numpy(zero_copy_only=False).astype(np.float64)
     p = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
     low = least[p.argmax(1)] if len(p) else np.zeros(0)
     high = np.maximum(most, low)
-    rate, start = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+    rate, start = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3)) if part.num_columns > 2 else [np.clip(np.ones(len(n)), low, high)] * 2
     for step in steps:
         if step is None:
             start = rate
@@ -126,15 +127,8 @@ def fit_rates(
     names = [f"s{j}" for j in range(k + 2 + len(upper[0]))]
     sums_schema = pa.schema([(c, pa.float64()) for c in names])
 
-    def at_first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            one = pa.array(np.ones(part.num_rows))
-            _, _, low, high, _, _ = _state(pa.RecordBatch.from_arrays([*part.columns, one, one], names=["n", "p", "rate", "start"]), [], least, most)
-            rate = pa.array(np.clip(np.ones(part.num_rows), low, high))
-            yield pa.RecordBatch.from_arrays([*part.columns, rate, rate], names=["n_tokens", "posterior", "rate", "start"])
-
     kind = "n_tokens long, posterior array<double>, rate double, start double"
-    now_rows = members.select("n_tokens", "posterior").mapInArrow(at_first, kind)
+    now_rows = members.select("n_tokens", "posterior")
     steps: list[Step] = []
 
     def look(ahead: np.ndarray | None) -> tuple[np.ndarray, float, float, np.ndarray]:
@@ -228,11 +222,8 @@ def fit_rates(
 
     def rated(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            one = pa.array(np.ones(part.num_rows))
-            own = pa.RecordBatch.from_arrays([part.column(at[0]), part.column(at[1]), one, one], names=["n", "p", "rate", "start"])
-            _, _, low, high, _, _ = _state(own, [], least, most)
-            first = pa.array(np.clip(np.ones(part.num_rows), low, high))
-            *_, rate, _ = _state(pa.RecordBatch.from_arrays([part.column(at[0]), part.column(at[1]), first, first], names=["n", "p", "rate", "start"]), every, least, most)
+            own = pa.RecordBatch.from_arrays([part.column(c) for c in at], names=["n_tokens", "posterior"])
+            *_, rate, _ = _state(own, every, least, most)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rate)], names=[*columns, "rate"])
 
     return members.mapInArrow(rated, schema), figures
