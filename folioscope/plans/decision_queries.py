@@ -83,7 +83,24 @@ stems as (select word, count, case when length(word) < 4 or word like '%ss' then
 once as (select a.word, a.count, coalesce(b.word, a.word) as to_word, b.stem as further from stems a left join stems b on a.stem = b.word),
 folded as (select coalesce(c.word, to_word) as word, sum(once.count)::bigint as count, count(*) as forms from once left join stems c on c.word = further group by 1)"""
 
+_KEYWORDS = ", ".join(f"('{k}')" for k in plain.KEYWORDS)
+#: How many findings each report has on the index of parts' words.
+_SUMMARY = (
+    plain._WORDS.replace("with occ", "with recursive occ", 1) + plain._CLUSTERS + plain._GROUPS.rstrip()
+    + f""", shared as ({plain._shared("occ")}), short as ({plain._ACRONYMS}),
+found(report_id, findings) as (
+  select 'similar_terms', count(distinct cluster) from cluster
+  union all select 'overlapping_terms', count(distinct a) from {plain._CONTAINED}
+  union all select 'capitalization_variants', count(*) from (select lower(term) from terms group by 1 having count(*) >= 2)
+  union all select 'formatting_variants', count(*) from uniq a where not exists (select 1 from uniq b where len(a.v) < len(b.v) and list_has_all(b.v, a.v))
+  union all select 'unused_include_terms', count(*) from (values {_KEYWORDS}) v(k) where lower(k) not in (select lower(term) from terms)
+  union all select 'thin_entries', count(*) from sizes where n <= 1 union all select 'dense_entries', count(*) from sizes where n >= 20
+  union all select 'shared_page_sets', count(*) from shared union all select 'acronym_pairs', count(*) from short)
+select report_id, findings::bigint as findings, 0::bigint as not_run from found"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "report_summary": _SUMMARY,
     "merge_log_state": _state(9) + " select term, page_idx, page_label from state",
     "merge_log_earlier_state": _state(4) + " select term, page_idx, page_label from state",
     "merge_log_changes": f"""
