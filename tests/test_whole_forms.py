@@ -22,3 +22,21 @@ def test_pages_of_forms_apart_from_their_longest(spark):
     occ = spark.createDataFrame(rows, "book_id string, term string, page_idx int, page_label string")
     got = consolidate.group_pages(occ, consolidate.name_groups(occ.select("book_id", "term"))).collect()
     assert sorted((r["term"], r["page_idx"]) for r in got) == [("Smith", 2), ("Smith", 7), ("Smith, John", 1), ("Smith, John", 9)]
+
+
+def test_occurrences_are_not_broadcast(spark):
+    """By the size of a small file that much comes of, they would be."""
+    from folioscope.operators import consolidate
+
+    for most in (consolidate.MOST_SENT, 0):
+        occ = form_occ(spark, SF, whole=True)
+        groups = consolidate.name_groups(occ.select("book_id", "term"))
+        old, consolidate.MOST_SENT = consolidate.MOST_SENT, most
+        try:
+            got = consolidate.group_pages(occ, groups)
+        finally:
+            consolidate.MOST_SENT = old
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        sent = [x for x in plan.split("BroadcastExchange")[1:]]
+        assert len(sent) == (1 if most else 0) and all("/groups-" in x.split("Scan parquet", 1)[1].split("\n", 1)[0] for x in sent)
+        assert {(r["term"], r["page_idx"]) for r in got.collect()} == {(r["term"], r["page_idx"]) for r in QUERIES["name_group_pages_whole"](spark, SF).collect()}
