@@ -22,7 +22,8 @@ def keyword_pattern(keyword: str) -> str:
     before = rf"(?<!{W})" if _WORD.match(keyword[0]) else rf"(?<={W})"
     after = rf"(?!{W})" if _WORD.match(keyword[-1]) else rf"(?={W})"
     escaped = re.sub(r"([^\w\s])", r"\\\1", keyword, flags=re.ASCII) if keyword.isascii() else re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", keyword)
-    return f"(?iu){before}{escaped}{after}"
+    # Alone, a sharp s has no upper case for Java's patterns; in a longer text it has.
+    return f"(?iu){before}{escaped.replace('ß', '[ßẞ]')}{after}"
 
 
 def nfkc_text(value: str) -> str:
@@ -37,10 +38,14 @@ NFKC_STABLE = (
 )
 
 
+#: A character that NFKC may change. Most characters are ASCII, which one comparison tells; the long class is tried on others only.
+NFKC_CHANGES = rf"[^\x00-\x7F](?<=[^{NFKC_STABLE}])"
+
+
 def nfkc(text: Column) -> Column:
     """NFKC form; texts that it surely leaves alone do not leave the JVM."""
     apply = F.pandas_udf(lambda s: s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x)), T.StringType())
-    may_change = text.rlike(f"[^{NFKC_STABLE}]")
+    may_change = text.rlike(NFKC_CHANGES)
     return F.when(may_change, apply(F.when(may_change, text))).otherwise(text)
 
 
