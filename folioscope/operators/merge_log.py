@@ -53,6 +53,11 @@ def state(occ: DataFrame, log: DataFrame, version: int | None = None) -> DataFra
     to a target keeps the target's own label, else that of the earlier merge. The log is a user's list of decisions and
     is resolved for each book by the terms it has, where its row is.
     """
+    return _state(stored(occ, "occurrences"), log, version)
+
+
+def _state(occ: DataFrame, log: DataFrame, version: int | None) -> DataFrame:
+    """state of an occ that is read twice, and so is stored."""
     merges = standing(log, version).where("action = 'merge'")
     listed = [(r["source"], r["target"]) for r in merges.orderBy("version").collect()]
     named = stored(merges.select(F.explode(F.array("source", "target")).alias("term")).distinct(), "merged-terms")
@@ -75,9 +80,10 @@ def changes(occ: DataFrame, log: DataFrame, before: int, after: int) -> DataFram
     """(book_id, term, page_idx, change): pages that the entries after version `before` up to `after` give to terms, `added`, and
     take from them, `gone`."""
     pages = ["book_id", "term", "page_idx"]
-    old, new = (state(occ, log, v).select(*pages) for v in (before, after))
-    fresh = new.join(old, pages, "left_anti").withColumn("change", F.lit("added"))
-    return fresh.unionByName(old.join(new, pages, "left_anti").withColumn("change", F.lit("gone")))
+    kept = stored(occ, "occurrences")
+    old, new = (_state(kept, log, v).select(*pages, F.lit(change).alias("change")) for v, change in ((before, "gone"), (after, "added")))
+    # A state has a page of a term once, so one that both have is there twice.
+    return old.unionByName(new).groupBy(*pages).agg(F.count("*").alias("n"), F.min("change").alias("change")).where("n = 1").drop("n")
 
 
 def candidates(index: DataFrame, source: str, most: int | None = None) -> DataFrame:
