@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import word_tokens
 from folioscope.operators.index import page_counts
+from folioscope.storage import stored
 
 
 def contained_pairs(terms: DataFrame) -> DataFrame:
@@ -62,6 +63,11 @@ def apply_merges(occ: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
 
     All books share the list. Each book resolves it by the listed terms that it has, where its row is.
     """
+    return _merged(stored(occ, "occurrences"), merges)
+
+
+def _merged(occ: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """apply_merges of an occ that is read twice, and so is stored."""
     named = sorted({x for pair in merges for x in pair})
     own = occ.where(F.col("term").isin(*named) if named else F.lit(False)).groupBy("book_id").agg(F.collect_set("term").alias("present"))
 
@@ -105,9 +111,10 @@ def keep_separate(decisions: DataFrame, source: str, target: str) -> DataFrame:
 def merge_with_undo(occ: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occ after the merge, the source's pages, the pages that are new to the target)."""
     cols = ["book_id", "page_idx"]
+    occ = stored(occ, "occurrences")
     original = occ.where(F.col("term") == source)
     added = original.join(occ.where(F.col("term") == target).select(*cols), cols, "left_anti")
-    return apply_merges(occ, [(source, target)]), original, added
+    return _merged(occ, [(source, target)]), original, added
 
 
 def undo(occ: DataFrame, original: DataFrame, added: DataFrame, target: str) -> DataFrame:
