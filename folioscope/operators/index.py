@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import upper_first
+from folioscope.storage import stored
 
 #: Pages of a block in which runs are found.
 BLOCK = 1 << 16
@@ -69,6 +70,7 @@ def formatted(occ: DataFrame, capitalize: bool = False, merge_on_collision: bool
     if capitalize and merge_on_collision:
         return formatted(occ.withColumn("term", shown).groupBy("book_id", "term", "page_idx").agg(F.min("page_label").alias("page_label")))
     if capitalize:
+        occ = stored(occ, "occurrences")  # read twice
         first = occ.groupBy("book_id", "term").agg(F.min("page_idx").alias("came"), F.min("ord" if "ord" in occ.columns else F.lit(0)).alias("ord"))
         last = first.groupBy("book_id", shown.alias("shown")).agg(F.max_by("term", F.struct("came", "ord", "term")).alias("term"))
         occ = occ.join(last, ["book_id", "term"], "left_semi")
