@@ -21,6 +21,7 @@ def unite(keyword_occ: DataFrame, name_occ: DataFrame) -> DataFrame:
 
 def suppress_covered(occ: DataFrame) -> DataFrame:
     """Entries of one word lose the pages on which an entry of several words (or with a comma) has that word."""
+    occ = stored(occ, "occurrences")  # read three times
     compound = F.col("term").rlike("[ ,]")
     parts = occ.where(compound).select("book_id", F.explode(F.array_distinct(F.split(F.lower("term"), r"[\s,]+"))).alias("word"), "page_idx").where("word <> ''").distinct()
     single = occ.where(~compound).withColumn("word", F.lower("term")).join(parts, ["book_id", "word", "page_idx"], "left_anti").drop("word")

@@ -104,3 +104,26 @@ def test_lines_in_capitals_and_last_characters(spark):
     pages = spark.createDataFrame([("b", 0, "1", blocks)], kind)
     assert [r["line"] for r in names.all_caps_lines(pages).collect()] == [0, 3]
     assert pages.select(F.transform("blocks", names.last_text_char).alias("c")).first()["c"] == ["2", "T", "."]
+
+
+def test_small_words_in_a_row(spark):
+    """Only the first of them is folded; titles and connectors in italics are."""
+    texts = ["we saw that John dr Smith and then the old Bob went on and on. It was so", "sie sah über den Alten Markt hin"]
+    pages = spark.createDataFrame([("b", k, str(k), x) for k, x in enumerate(texts)], "book_id string, page_idx int, page_label string, text string")
+    tokens = names.plain_tokens(pages)
+    short = {r["page_idx"]: [k["text"] for k in r["tokens"]] for r in names._without_runs(tokens).collect()}
+    assert short == {0: ["we", "John", "dr", "Smith", "and", "Bob", "went", ".", "It", "was"], 1: ["sie", "Alten", "Markt", "hin"]}
+    assert found(names.discover(tokens)) == {0: ["John Smith", "Bob"], 1: ["Alten Markt"]}
+
+
+def test_lengths_are_looked_for_by_two_words(spark, monkeypatch):
+    """Names of many lengths that begin alike: none is tried where the second word is another."""
+    kept = {}
+    store = names.stored
+    monkeypatch.setattr(names, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    vocab = spark.createDataFrame([("b", "De " + " ".join(f"W{k}x{j}" for j in range(k))) for k in range(1, 40)] + [("b", "De"), ("b", "W3x1 W3x2")], "book_id string, name string")
+    text = "De De W3x0 W3x1 W3x2 and De " + "Other De " * 30 + "De W9x0 W9x1"
+    pages = spark.createDataFrame([("b", 0, "1", text)], "book_id string, page_idx int, page_label string, text string")
+    got = found(names.locate(names.plain_tokens(pages), vocab))[0]
+    assert got == ["De", "De W3x0 W3x1 W3x2", "W3x1 W3x2", *["De"] * 32]
+    assert kept["name-starts"].selectExpr("sum(size(lengths))").first()[0] == 2

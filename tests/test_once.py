@@ -30,7 +30,7 @@ def test_sharp_s_alone(spark):
 LOG = [(1, "merge", "a", "b", None), (2, "merge", "b", "c", None), (3, "undo", None, None, 1)]
 
 
-@pytest.mark.parametrize("work", ["changes", "state", "merges", "undo", "capitalised"])
+@pytest.mark.parametrize("work", ["changes", "state", "merges", "undo", "capitalised", "suppressed"])
 def test_occurrences_are_computed_once(spark, work):
     seen = spark.sparkContext.accumulator(0)
 
@@ -53,6 +53,8 @@ def test_occurrences_are_computed_once(spark, work):
     elif work == "undo":
         after, original, added = merge.merge_with_undo(occ, "a", "b")
         assert sorted((r["term"], r["page_idx"]) for r in merge.undo(after, original, added, "b").collect()) == sorted((r[1], r[2]) for r in rows)
+    elif work == "suppressed":
+        assert index.suppress_covered(occ).count() == len(rows)
     else:
         assert {r["display_term"]: r["pages"] for r in index.formatted(occ, capitalize=True).collect()} == {"A": "2-3", "B": "3-4", "C": "6"}
     assert seen.value == len(rows)
