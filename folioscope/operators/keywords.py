@@ -49,7 +49,8 @@ def keyword_hits(pages: DataFrame, keywords: list[str], config: IndexConfig | No
     return reduce(DataFrame.unionByName, [some(b) for b in range(0, len(names), PATTERNS)])
 
 
-#: Keywords that are matched in one pass over the pages: their table is sent to every task. More are matched in several.
+#: Keywords that are matched in one pass over the pages: their table is sent to every task. Of more, single words are joined to
+#: the pages' words, and the others are matched in several passes.
 MOST_LISTED = 500_000
 _RUNS = re.compile(r"\w+|\W+")
 _LISTED = pa.schema([("book_id", pa.string()), ("page_idx", pa.int32()), ("page_label", pa.string()), ("ords", pa.list_(pa.int64()))])
@@ -72,6 +73,10 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_FOLDS)
 
 
+def is_word(run: str) -> bool:
+    return run[0].isalnum() or run[0] == "_"
+
+
 def _listed(table: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(book_id, page_idx, page_label, ords) of pages with the numbers of the keywords on them; table: (ord, NFKC form).
 
@@ -82,14 +87,11 @@ def _listed(table: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]]
     longer: dict[str, dict[int, dict[str, list[int]]]] = {}
     for number, form in table:
         runs = _RUNS.findall(folded(form))
-        if len(runs) == 1 and runs[0][0].isalnum() | (runs[0][0] == "_"):
+        if len(runs) == 1 and is_word(runs[0]):
             words.setdefault(runs[0], []).append(number)
         else:
             longer.setdefault(runs[0], {}).setdefault(len(runs), {}).setdefault("".join(runs), []).append(number)
 
-    def is_word(run: str) -> bool:
-        return run[0].isalnum() or run[0] == "_"
-
     def on_page(text: str) -> list[int]:
         runs = _RUNS.findall(folded(text))
         found = {n for run in words.keys() & set(runs) for n in words[run]}
@@ -108,25 +110,50 @@ def _listed(table: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]]
     return run
 
 
+_PAGE_WORDS = pa.schema([*[_LISTED.field(k) for k in range(3)], ("words", pa.list_(pa.string()))])
+_KEYED = pa.schema([("ord", pa.int64()), ("term", pa.string()), ("form", pa.string()), ("key", pa.string())])
+
+
+def _page_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(book_id, page_idx, page_label, words): a page's words, each once."""
+    for part in parts:
+        words = [[run for run in set(_RUNS.findall(folded(text.as_py()))) if is_word(run)] for text in part.column(3)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(words, _PAGE_WORDS.field(3).type)], schema=_PAGE_WORDS)
+
+
+def _keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ord, term, form, key): key is what a page's word must be for a keyword of one word; others have none."""
+    for part in parts:
+        runs = [_RUNS.findall(folded(form.as_py())) for form in part.column(2)]
+        keys = [r[0] if len(r) == 1 and is_word(r[0]) else None for r in runs]
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(keys, pa.string())], schema=_KEYED)
+
+
 def keyword_list_hits(pages: DataFrame, words: DataFrame, config: IndexConfig | None = None, most: int = MOST_LISTED) -> DataFrame:
     """occ(book_id, term, page_idx, page_label, ord), as keyword_hits has it, of a long list: words(ord, word), distinct ords.
 
-    Each `most` keywords take one pass over the pages, whatever their number, and no shuffle of the pages. Blank keywords are
-    left out; of one NFKC form the last spelling counts, in the first's place."""
+    Up to `most` keywords take one pass over the pages and no shuffle of them. Of more, those of one word are joined to the pages'
+    words, however many they are, and each `most` of the others take a pass. Blank keywords are left out; of one NFKC form the
+    last spelling counts, in the first's place."""
     config = config or IndexConfig()
     text = nfkc(F.coalesce("text", F.lit("")))
     own = labelled_pages(pages, config).select(F.col("book_id").cast("string"), F.col("page_idx").cast("int"), "page_label", text.alias("text"))
     trimmed = words.select("ord", stripped(F.col("word")).alias("word")).where(F.length("word") > 0)
     names = trimmed.groupBy(nfkc(F.col("word")).alias("form")).agg(F.max_by("word", "ord").alias("term"), F.min("ord").cast("long").alias("ord"))
     names = stored(names, "keywords")
-    blocks = max(1, -(-names.count() // most))
-    dealt = names.withColumn("block", F.pmod(F.xxhash64("form"), F.lit(blocks)))
-    found = None
+    found, rest = [], names
+    if names.count() > most:
+        keyed = stored(names.select("ord", "term", "form").mapInArrow(_keyed, "ord long, term string, form string, key string"), "keys")
+        each = own.mapInArrow(_page_words, "book_id string, page_idx int, page_label string, words array<string>").select("book_id", "page_idx", "page_label", F.explode("words").alias("key"))
+        found.append(each.join(keyed.where("key is not null").select("key", "ord", "term"), "key").select("book_id", "term", "page_idx", "page_label", "ord"))
+        rest = keyed.where("key is null")
+    blocks = max(0 if found else 1, -(-rest.count() // most))
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("form"), F.lit(blocks)))
     for k in range(blocks):
         table = [(r["ord"], r["form"]) for r in dealt.where(F.col("block") == k).select("ord", "form").collect()]
         hits = own.mapInArrow(_listed(table), "book_id string, page_idx int, page_label string, ords array<long>").select("book_id", "page_idx", "page_label", F.explode("ords").alias("ord"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.join(names.select("ord", "term"), "ord").select("book_id", "term", "page_idx", "page_label", "ord")
+        found.append(hits.join(rest.select("ord", "term"), "ord").select("book_id", "term", "page_idx", "page_label", "ord"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def sort_and_dedup(words: DataFrame) -> DataFrame:

@@ -58,3 +58,11 @@ def test_occurrences_are_computed_once(spark, work):
     else:
         assert {r["display_term"]: r["pages"] for r in index.formatted(occ, capitalize=True).collect()} == {"A": "2-3", "B": "3-4", "C": "6"}
     assert seen.value == len(rows)
+
+
+def test_passes_do_not_grow_with_the_words_of_a_list(spark):
+    pages = spark.createDataFrame([("b", 0, "1", "Word7 and word12, word12"), ("b", 1, "2", "word1 WORD30.")], KINDS)
+    listed = spark.range(40).selectExpr("id as ord", "concat('word', id) as word").unionByName(spark.createDataFrame([(100, "word7 and")], "ord long, word string"))
+    got = keywords.keyword_list_hits(pages, listed, most=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # pages' words, and the keyword of two
+    assert sorted((r["page_idx"], r["term"]) for r in got.collect()) == [(0, "word12"), (0, "word7"), (0, "word7 and"), (1, "word1"), (1, "word30")]
