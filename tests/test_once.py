@@ -66,3 +66,18 @@ def test_passes_do_not_grow_with_the_words_of_a_list(spark):
     got = keywords.keyword_list_hits(pages, listed, most=4)
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2  # pages' words, and the keyword of two
     assert sorted((r["page_idx"], r["term"]) for r in got.collect()) == [(0, "word12"), (0, "word7"), (0, "word7 and"), (1, "word1"), (1, "word30")]
+
+
+def test_tokens_of_one_file_go_to_many_tasks(spark, monkeypatch):
+    from folioscope.plans import index_queries
+
+    class Seen(Exception):
+        pass
+
+    def stop(tokens, *_):
+        raise Seen(tokens.select(F.input_file_name()).distinct().count())
+
+    monkeypatch.setattr(index_queries.recognise, "labelled", stop)
+    with pytest.raises(Seen) as seen:
+        index_queries.recognised(spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] > 8
