@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import upper_first
 from folioscope.operators.index import page_runs
+from folioscope.storage import stored
 
 #: Links of a term that a report shows.
 MOST_LINKS = 15
@@ -64,31 +65,48 @@ def write_lines(lines: DataFrame, path: str, kind: str) -> None:
     top.unionByName(body).unionByName(end).orderBy("k", "s", "value").select("value").write.text(path)
 
 
+def _string(value: Column) -> Column:
+    """A JSON string; characters beyond ASCII are written by their UTF-16 units."""
+    quoted = F.substring(F.to_json(F.struct(value.alias("x"))), 6, 1 << 30)
+    plain = F.regexp_replace(quoted, r"\}$", "")
+    units = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")))
+    bare = F.concat(F.lit('"'), value, F.lit('"'))
+    return F.when(value.rlike("^[0-9A-Za-z #.,-]*$"), bare).when(plain.rlike(r"[^\x00-\x7F]"), F.array_join(units, "")).otherwise(plain)
+
+
+def _pair(page_idx: Column, page_label: Column) -> Column:
+    return F.concat(F.lit("    [\n      "), page_idx.cast("string"), F.lit(",\n      "), F.coalesce(_string(page_label), F.lit("null")), F.lit("\n    ]"))
+
+
 def json_lines(index: DataFrame) -> DataFrame:
     """(book_id, term, line): an entry of a raw index as a member of the index's JSON object, its pages as pairs of place and
     label, two spaces to a level, other characters than ASCII escaped."""
-
-    def string(value: Column) -> Column:
-        # to_json escapes what JSON must; characters beyond ASCII are then written by their UTF-16 units.
-        quoted = F.substring(F.to_json(F.struct(value.alias("x"))), 6, 1 << 30)
-        plain = F.regexp_replace(quoted, r"\}$", "")
-        units = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")))
-        return F.when(plain.rlike(r"[^\x00-\x7F]"), F.array_join(units, "")).otherwise(plain)
-
-    pair = F.transform("pages", lambda p: F.concat(F.lit("    [\n      "), p["page_idx"].cast("string"), F.lit(",\n      "), string(p["page_label"]), F.lit("\n    ]")))
-    return index.select("book_id", "term", F.concat(F.lit("  "), string(F.col("term")), F.lit(": [\n"), F.array_join(pair, ",\n"), F.lit("\n  ]")).alias("line"))
+    pairs = F.transform("pages", lambda p: _pair(p["page_idx"], p["page_label"]))
+    return index.select("book_id", "term", F.concat(F.lit("  "), _string(F.col("term")), F.lit(": [\n"), F.array_join(pairs, ",\n"), F.lit("\n  ]")).alias("line"))
 
 
 def write_json(index: DataFrame, path: str) -> None:
-    """The raw index of each book as one JSON object {term: [[place, label], ...]}: a folder for each book, whose text files in
-    their order are the object. Entries go by their first page and spelling."""
-    rows = json_lines(index).join(index.select("book_id", "term", F.col("pages")[0]["page_idx"].alias("first")), ["book_id", "term"])
-    ends = rows.groupBy("book_id").agg(F.max(F.struct("first", "term")).alias("last")).select("book_id", "last.first", "last.term")
-    last = rows.join(ends.withColumn("is_last", F.lit(True)), ["book_id", "first", "term"], "left")
-    body = last.select("book_id", F.lit(1).alias("k"), "first", "term", F.concat("line", F.when(F.col("is_last"), "").otherwise(",")).alias("value"))
-    frame = ends.select("book_id", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("{").alias("value")), F.struct(F.lit(2).alias("k"), F.lit("}").alias("value")))).alias("f"))
-    outer = frame.select("book_id", F.col("f.k").alias("k"), F.lit(0).alias("first"), F.lit("").alias("term"), F.col("f.value").alias("value"))
-    body.unionByName(outer).orderBy("book_id", "k", "first", "term").select("book_id", "value").write.partitionBy("book_id").text(path)
+    """The raw index, or occ, of each book as one JSON object {term: [[place, label], ...]}: a folder for each book, whose text files
+    in their order are the object. Entries go by their first page and spelling. Rows are pairs, so that an entry of very many
+    pages is written by many tasks, and may go on in the next file."""
+    each = index.select("book_id", "term", F.explode_outer("pages").alias("p")).select("book_id", "term", "p.page_idx", "p.page_label") if "pages" in index.columns else index
+    rows = stored(each.select("book_id", "term", "page_idx", "page_label", F.monotonically_increasing_id().alias("nth")), "pairs")
+    entries = stored(rows.groupBy("book_id", "term").agg(F.min("page_idx").alias("first"), F.max(F.struct("page_idx", "page_label", "nth"))["nth"].alias("last")), "entries")
+    ends = entries.groupBy("book_id").agg(F.max(F.struct("first", "term"))["term"].alias("last_term"))
+    place = ["book_id", "k", "first", "term", "step", "page_idx", "page_label", "nth"]
+
+    def at(df: DataFrame, k: int, step: int, value: Column) -> DataFrame:
+        have = df.select("*", F.lit(k).alias("k"), F.lit(step).alias("step"), value.alias("value"))
+        return have.select(*[F.col(c) if c in have.columns else F.lit(None).alias(c) for c in place], "value")
+
+    opened = at(entries, 1, 0, F.concat(F.lit("  "), _string(F.col("term")), F.lit(": [")))
+    closed = at(entries.join(ends, "book_id"), 1, 2, F.when(F.col("term") == F.col("last_term"), "  ]").otherwise("  ],"))
+    paired = at(rows.where("page_idx is not null").join(entries, ["book_id", "term"]), 1, 1, F.when(F.col("nth") == F.col("last"), "").otherwise(","))
+    frame = at(ends, 0, 0, F.lit("{")).unionByName(at(ends, 2, 0, F.lit("}")))
+    in_order = opened.unionByName(paired).unionByName(closed).unionByName(frame).orderBy(*place)
+    # Pairs are put into words after the sort, whose sample reads all rows once more.
+    value = F.when((F.col("k") == 1) & (F.col("step") == 1), F.concat(_pair(F.col("page_idx"), F.col("page_label")), F.col("value"))).otherwise(F.col("value"))
+    in_order.select("book_id", value.alias("value")).write.partitionBy("book_id").text(path)
 
 
 def finding_lines(findings: DataFrame) -> DataFrame:

@@ -49,3 +49,22 @@ def test_what_is_written_is_read(spark, tmp_path):
     occ = spark.createDataFrame(rows, "book_id string, term string, page_idx int, page_label string")
     render.write_json(index.nested(occ), str(tmp_path / "out"))
     assert sorted(map(tuple, read_index(spark, str(tmp_path / "out")).collect())) == sorted(rows)
+
+
+def test_an_entry_is_written_by_many_tasks(spark, tmp_path):
+    wanted = {"a]": [[k, str(k + 1)] for k in range(0, 900)], 'b"]é': [[k, f'{k}"]'] for k in range(1, 700)], "c": [[2, "]"]]}
+    rows = [("one", term, i, label) for term, pages in wanted.items() for i, label in pages]
+    occ = spark.createDataFrame(rows, "book_id string, term string, page_idx int, page_label string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else tasks this small are put together
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        render.write_json(occ, str(tmp_path / "out"))
+        got = sorted(map(tuple, read_index(spark, str(tmp_path / "out")).collect()))
+    finally:
+        for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(name)
+    files = sorted((tmp_path / "out" / "book_id=one").glob("*.txt"))
+    assert len(files) > 4
+    assert "".join(f.read_text(encoding="utf-8") for f in files) == json.dumps(wanted, indent=2) + "\n"
+    assert got == sorted(rows)
