@@ -9,13 +9,15 @@ numbers as differences in small blocks. The dictionary has every spelling once;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import match_spans, nfkc
+from folioscope.functions.text import nfkc
 from folioscope.operators.search import EDGE, highlight_forms
 from folioscope.storage import free_name, new_path, stored
 
@@ -56,30 +58,56 @@ class PositionalIndex:
         return self.postings().where(F.col("part").isin(parts) & F.col("term").isin([r["term"] for r in some]))
 
 
+#: Words of a batch that a task hands on.
+BATCH_WORDS = 100_000
+_WORD = re.compile(r"([^ \t\n\x0b\f\r]+)([ \t\n\x0b\f\r]*)")
+_ROWS = pa.schema([("term", pa.string()), ("book_id", pa.string()), ("page_idx", pa.int32()), ("at", pa.int32()), ("start", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+
+
+def _word_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of pages (book_id, page_idx, text), some BATCH_WORDS at a time."""
+    for part in parts:
+        page, rows = [], []
+
+        def batch() -> pa.RecordBatch:
+            term, at, start, before, after = (pa.array(c, _ROWS.field(n).type) for c, n in zip(zip(*rows), ("term", "at", "start", "before", "after")))
+            book_id, page_idx = (part.column(k).take(pa.array(page, pa.int32())) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([term, book_id, page_idx, at, start, before, after], schema=_ROWS)  # noqa: B023
+
+        for k, text in enumerate(part.column(2)):
+            before = None
+            for at, found in enumerate(_WORD.finditer(text.as_py())):
+                if before is None:
+                    before = found.string[: found.start()]
+                term, after = found.groups()
+                rows.append((term, at, found.start(), before, after))
+                page.append(k)
+                before = after
+                if len(rows) >= BATCH_WORDS:
+                    yield batch()
+                    page, rows = [], []
+        if rows:
+            yield batch()
+
+
 def word_postings(pages: DataFrame) -> DataFrame:
     """(term, book_id, page_idx, at, start, before, after) of pages(book_id, page_idx, text); places are in code points."""
-    text = F.coalesce("text", F.lit(""))
-    pieces = F.regexp_extract_all(text, F.lit(rf"[^ \t\n\x0B\f\r]+{SPACE}*"), F.lit(0))
-    own = pages.select("book_id", "page_idx", pieces.alias("pieces"), match_spans(text, r"[^ \t\n\x0B\f\r]+").alias("spans"), F.regexp_extract(text, f"^{SPACE}*", 0).alias("lead"))
-    after = F.transform("pieces", lambda p: F.regexp_extract(p, f"{SPACE}*$", 0))
-    before = F.concat(F.array("lead"), after)
-    rows = F.arrays_zip(F.col("pieces").alias("piece"), F.col("spans").alias("span"), F.slice(before, F.lit(1), F.size("pieces")).alias("before"), after.alias("after"))
-    each = own.select("book_id", "page_idx", F.posexplode(rows).alias("at", "w"))
-    term = F.regexp_replace("w.piece", f"{SPACE}+$", "")
-    return each.select(term.alias("term"), "book_id", "page_idx", "at", F.col("w.span.start").alias("start"), F.col("w.before").alias("before"), F.col("w.after").alias("after"))
+    own = pages.select(F.col("book_id").cast("string"), F.col("page_idx").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
+    return own.mapInArrow(_word_rows, _POSTINGS.removesuffix(", part int"))
 
 
 def build_index(pages: DataFrame, path: str | None = None, normal: bool = False, part_bytes: int = PART_BYTES) -> PositionalIndex:
     """Writes the index of pages(book_id, page_idx, text) to a new folder. normal: of the texts' NFKC forms.
 
-    One shuffle, of the postings by word; a word's postings beyond FILE_ROWS or so go to several tasks. Null texts have no words.
+    Texts are cut into words once, and the postings are stored as they come. One shuffle of them then, by word; a word's postings
+    beyond FILE_ROWS or so go to several tasks. Null texts have no words.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "positions")
     own = pages.withColumn("text", nfkc(F.col("text"))) if normal else pages
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = pages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(1, min(MOST_PARTS, -(-size // part_bytes)))
-    postings = word_postings(own).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(n_parts)).cast("int"))
+    postings = stored(word_postings(own).withColumn("part", F.pmod(F.xxhash64("term"), F.lit(n_parts)).cast("int")), "words")
     counts = postings.groupBy("term", "part").agg(F.count("*").alias("n"))
     counts.repartition("part").sortWithinPartitions("part", "term").write.parquet(f"{path}/dictionary")
     # Frequent words only; there are fewer than all postings / FILE_ROWS of them.

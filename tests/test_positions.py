@@ -114,3 +114,21 @@ def test_a_hundred_thousand_keywords_take_one_scan(spark, texts):
 
 def test_an_empty_list(spark, texts):
     assert keywords.keyword_list_hits(texts, spark.createDataFrame([], "ord int, word string")).count() == 0
+
+
+def test_texts_are_cut_into_words_once(spark, texts, index, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), positions.word_postings
+
+    def count(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    def counted(pages):
+        rows = plain(pages)
+        assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+        return rows.mapInArrow(count, rows.schema)
+
+    monkeypatch.setattr(positions, "word_postings", counted)
+    built = positions.build_index(texts, part_bytes=2000)
+    assert seen.value == built.postings().count() == index.postings().count()
