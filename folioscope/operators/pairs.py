@@ -21,9 +21,10 @@ def word_pairs(pages: DataFrame, stop: frozenset[str] = frozenset()) -> DataFram
     """(a, b, n): neighbouring words, neither of which is a stop word, with how often they are. Pages do not run on."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(CLOUD_WORD), F.lit(0))
     pair = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    skip = F.array(*[F.lit(w) for w in sorted(lexicon.CLOUD_STOPWORDS | {s.lower() for s in stop})])
-    each = pages.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pair).alias("p")).where("p.b is not null").select("p.a", "p.b")
-    return each.where(~F.array_contains(skip, F.col("a")) & ~F.array_contains(skip, F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("n"))
+    # A list of literals is looked up by hash, an array word by word.
+    skip = sorted(lexicon.CLOUD_STOPWORDS | {s.lower() for s in stop})
+    each = pages.select(words.alias("w")).select(F.explode(pair).alias("p")).where("p.b is not null").select("p.a", "p.b")
+    return each.where(~F.col("a").isin(skip) & ~F.col("b").isin(skip)).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def _term(observed: Column, expected: Column) -> Column:
@@ -76,8 +77,8 @@ def cloud_with_pairs(pages: DataFrame, stop: frozenset[str] = frozenset(), top:
     """(word, count): a cloud whose plurals are folded and whose collocated pairs are words of their own (`a b`), their occurrences
     taken from the words they are made of; the most frequent `top`, ties by spelling. A word of no count left is not shown."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(CLOUD_WORD), F.lit(0))
-    skip = F.array(*[F.lit(w) for w in sorted(lexicon.CLOUD_STOPWORDS | {s.lower() for s in stop})])
-    single = pages.select(F.explode(words).alias("word")).where(~F.array_contains(skip, F.col("word"))).groupBy("word").agg(F.count("*").alias("count"))
+    skip = sorted(lexicon.CLOUD_STOPWORDS | {s.lower() for s in stop})
+    single = pages.select(F.explode(words).alias("word")).where(~F.col("word").isin(skip)).groupBy("word").agg(F.count("*").alias("count"))
     pairs = stored(collocated(pages, least_count, stop=stop).select("a", "b", "n"), "cloud-pairs")
     taken = pairs.select(F.explode(F.array("a", "b")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("taken"))
     rest = single.join(taken, "word", "left").select("word", (F.col("count") - F.coalesce("taken", F.lit(0))).alias("count")).where("count > 0")

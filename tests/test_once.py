@@ -81,3 +81,13 @@ def test_tokens_of_one_file_go_to_many_tasks(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         index_queries.recognised(spark, "/root/testdata/sf0.001")
     assert seen.value.args[0] > 8
+
+
+def test_stop_words_are_looked_up_and_words_found_once(spark):
+    from folioscope.operators import pairs
+
+    pages = spark.createDataFrame([("b", 0, "1", "red house monday red house x"), ("b", 1, "2", "red"), ("b", 2, "3", None)], KINDS)
+    found = pairs.word_pairs(pages, frozenset({"Green"}))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "array_contains" not in plan
+    assert {tuple(r) for r in found.collect()} == {("red", "house", 2)}
