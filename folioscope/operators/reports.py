@@ -131,12 +131,14 @@ def shared_pages(occ: DataFrame, least: float = 0.8, max_entries: int | None = M
     Pairs that have met are one, and are sifted by their sizes and words, before their common pages are counted by a join.
     """
     # Counts are stored, so that their joins with a term or page of very many rows are between scans, and can split it.
-    counts = stored(occ.groupBy("book_id", "term").agg(F.countDistinct("page_idx").alias("n")), "term-pages")
-    sized = occ.select("book_id", "term", "page_idx").distinct().join(counts, ["book_id", "term"])
+    pages = stored(occ.select("book_id", "term", "page_idx").distinct(), "occurrences")
+    counts = stored(pages.groupBy("book_id", "term").agg(F.count("page_idx").alias("n")), "term-pages")
+    sized = pages.join(counts, ["book_id", "term"])
     if max_entries is not None:
-        sized = sized.join(_books(occ, max_entries), "book_id", "left_semi")
+        sized = sized.join(_books(pages, max_entries), "book_id", "left_semi")
+    sized = stored(sized, "sized-pages")  # read five times
     busy = stored(sized.groupBy("book_id", "page_idx").agg(F.count("*").alias("busy")), "page-terms")
-    ranked = _ranked(sized.join(busy, ["book_id", "page_idx"]))
+    ranked = _ranked(stored(sized.join(busy, ["book_id", "page_idx"]), "busy-pages"))
     first = ranked.where(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
     x = first.select("book_id", "page_idx", F.col("term").alias("a"), F.col("n").alias("na"))
     y = first.select("book_id", "page_idx", F.col("term").alias("b"), F.col("n").alias("nb"))

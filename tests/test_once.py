@@ -91,3 +91,20 @@ def test_stop_words_are_looked_up_and_words_found_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1 and "array_contains" not in plan
     assert {tuple(r) for r in found.collect()} == {("red", "house", 2)}
+
+
+def test_shared_pages_read_occurrences_once(spark):
+    from folioscope.operators import reports
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    rows = [("b", t, p, str(p + 1)) for t in ("red", "blue") for p in range(5)] + [("b", "green", 9, "10")]
+    kind = "book_id string, term string, page_idx int, page_label string"
+    occ = spark.createDataFrame(rows, kind).mapInArrow(count, kind)
+    assert [tuple(r) for r in reports.shared_pages(occ).collect()] == [("b", "blue", "red", "100% overlap")]
+    assert seen.value == len(rows)
