@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import upper_first
@@ -61,6 +61,16 @@ def page_runs(occ: DataFrame, block: int = BLOCK) -> DataFrame:
     return runs.where(~border).select(*names).unionByName(edge.groupBy("book_id", "term", "run").agg(*ends).select(*names))
 
 
+def joined_runs(runs: DataFrame, text: Column, block: int = BLOCK) -> DataFrame:
+    """(book_id, term, pages) of page_runs: their texts in order, joined by commas. They are joined within blocks of pages first, so
+    that what is put in order for a whole term is one text for each block, and not a row for each run."""
+    place = F.expr(f"first_idx div {int(block)}").alias("block")
+    inner = runs.groupBy("book_id", "term", place).agg(F.array_sort(F.collect_list(F.struct("first_idx", text.alias("text")))).alias("runs"))
+    texts = inner.select("book_id", "term", "block", F.array_join(F.transform("runs", lambda r: r["text"]), ", ").alias("text"))
+    blocks = texts.groupBy("book_id", "term").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("blocks"))
+    return blocks.select("book_id", "term", F.array_join(F.transform("blocks", lambda b: b["text"]), ", ").alias("pages"))
+
+
 def formatted(occ: DataFrame, capitalize: bool = False, merge_on_collision: bool = False) -> DataFrame:
     """(book_id, display_term, pages): runs as `first-last`, joined by commas.
 
@@ -76,8 +86,7 @@ def formatted(occ: DataFrame, capitalize: bool = False, merge_on_collision: bool
         last = first.groupBy("book_id", shown.alias("shown")).agg(F.max_by("term", F.struct("came", "ord", "term")).alias("term"))
         occ = occ.join(last, ["book_id", "term"], "left_semi")
     label = F.when(F.col("first_idx") == F.col("last_idx"), F.col("first_label")).otherwise(F.concat_ws("-", "first_label", "last_label"))
-    runs = page_runs(occ).groupBy("book_id", "term").agg(F.array_sort(F.collect_list(F.struct("first_idx", label.alias("label")))).alias("runs"))
-    return runs.select("book_id", shown.alias("display_term"), F.array_join(F.transform("runs", lambda r: r["label"]), ", ").alias("pages"))
+    return joined_runs(page_runs(occ), label).select("book_id", shown.alias("display_term"), "pages")
 
 
 def ordered(lines: DataFrame) -> DataFrame:

@@ -93,6 +93,17 @@ def test_stop_words_are_looked_up_and_words_found_once(spark):
     assert {tuple(r) for r in found.collect()} == {("red", "house", 2)}
 
 
+def test_runs_are_joined_by_blocks(spark):
+    rows = [("b", t, p, str(p + 1)) for t, ps in (("a", (0, 1, 3, 4, 5, 9, 11, 12)), ("c", (7, 8))) for p in ps]
+    occ = spark.createDataFrame(rows, "book_id string, term string, page_idx int, page_label string")
+    seen = []
+    label = F.concat_ws("-", "first_label", "last_label")
+    for block in (1, 4, 1 << 16):
+        seen.append({r["term"]: r["pages"] for r in index.joined_runs(index.page_runs(occ), label, block).collect()})
+    assert seen == [{"a": "1-2, 4-6, 10-10, 12-13", "c": "8-9"}] * 3
+    assert {r["display_term"]: r["pages"] for r in index.formatted(occ).collect()} == {"a": "1-2, 4-6, 10, 12-13", "c": "8-9"}
+
+
 def test_shared_pages_read_occurrences_once(spark):
     from folioscope.operators import reports
 
