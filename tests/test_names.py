@@ -127,3 +127,25 @@ def test_lengths_are_looked_for_by_two_words(spark, monkeypatch):
     got = found(names.locate(names.plain_tokens(pages), vocab))[0]
     assert got == ["De", "De W3x0 W3x1 W3x2", "W3x1 W3x2", *["De"] * 32]
     assert kept["name-starts"].selectExpr("sum(size(lengths))").first()[0] == 2
+
+
+def test_unstyled_tokens_are_read_as_texts(spark):
+    """Pages of texts give what the same pages of tokens do, without a token being made."""
+    texts = ["We met John Smith's Aunt in New York. IV Smith, 75 Avon and the NATO", "", None, "; Dr Ödland Straße ran. § Ada King x9 Ada King Lovelace of Kent! ΣΑΣ A4 Kent's"]
+    pages = spark.createDataFrame([("b", k, str(k + 1), x) for k, x in enumerate(texts)], "book_id string, page_idx int, page_label string, text string")
+    tokens = names.plain_tokens(pages)
+    for options in ({}, {"discovery": False}, {"excludes": frozenset({"Avon", "king"})}):
+        of_texts, of_tokens = names.discover(tokens.select("book_id", "page_idx", "texts"), **options), names.discover(tokens.drop("texts"), **options)
+        assert found(of_texts) == found(of_tokens) != {}
+    vocab = names.vocabulary(names.discover(tokens)).unionByName(spark.createDataFrame([("b", "Ada King"), ("b", "Smith Aunt"), ("b", "King Lovelace of Kent"), ("b", "Ada King Lovelace of")], "book_id string, name string"))
+    of_texts, of_tokens = names.locate(tokens.drop("tokens"), vocab), names.locate(tokens.drop("texts"), vocab)
+    assert found(of_texts) == found(of_tokens) and {"Ödland Straße", "Ada King", "Ada King Lovelace of"} <= set(found(of_texts)[3])
+    assert "lambdafunction" not in names.discover(tokens)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_flags_that_are_not_known(spark):
+    """A flag that is null neither begins another name nor lets a connector go on, and its word does not begin a sentence."""
+    rows = [[("He", False), ("Ada", None), ("King", True), ("and", True), ("Bo", None)], [("Ada", None), ("saw", False)], [("x", False), ("War", True), ("and", True), ("Peace", True), ("Bo", False)]]
+    kind = "book_id string, page_idx int, page_label string, tokens array<struct<text: string, bold: boolean, italic: boolean, superscript: boolean>>"
+    pages = spark.createDataFrame([("b", k, "", [(w, False, i, None) for w, i in r]) for k, r in enumerate(rows)], kind)
+    assert found(names.discover(pages)) == {0: ["Ada King", "Bo"], 1: ["Ada"], 2: ["War and Peace", "Bo"]}
