@@ -149,3 +149,35 @@ def test_flags_that_are_not_known(spark):
     kind = "book_id string, page_idx int, page_label string, tokens array<struct<text: string, bold: boolean, italic: boolean, superscript: boolean>>"
     pages = spark.createDataFrame([("b", k, "", [(w, False, i, None) for w, i in r]) for k, r in enumerate(rows)], kind)
     assert found(names.discover(pages)) == {0: ["Ada King", "Bo"], 1: ["Ada"], 2: ["War and Peace", "Bo"]}
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Both passes of the index, and the union with keywords after them, read pages' words from where they were stored."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    kind = "book_id string, page_idx int, page_label string, text string"
+    pages = spark.createDataFrame([("b", 0, "1", "we met Ada King and saw Ada King of Kent"), ("b", 1, "2", "by King, Ada King")], kind).mapInArrow(count, kind)
+    occ = index.suppress_covered(index.unite(occ_of_none(spark), names.name_index(names.plain_tokens(pages))))
+    assert pages_of(occ) == {"King, Ada": {0, 1}, "Kent": {0}}
+    assert seen.value == 2
+
+
+def occ_of_none(spark):
+    return occ(spark, [("none", [])])
+
+
+def test_runs_end_at_the_next_mark():
+    """Of the lengths that are looked for, only those before a mark leave the page."""
+    import pyarrow as pa
+
+    texts = ["De", "W1's", "W2", ",", "De", "W1", None, "De", "W1", "W2"]
+    plan = [{"at": 0, "lengths": [3, 4, 900]}, {"at": 4, "lengths": [3]}, {"at": 7, "lengths": [4, 3]}]
+    plans = pa.array([plan, []], pa.list_(pa.struct([("at", pa.int32()), ("lengths", pa.list_(pa.int32()))])))
+    pages = pa.RecordBatch.from_arrays([pa.array(["b", "b"]), pa.array([5, 6], pa.int32()), pa.array(["6", "7"]), pa.array([texts, []], pa.list_(pa.string())), plans], names=["book_id", "page_idx", "page_label", "texts", "plan"])
+    got = [tuple(r.values()) for part in names._whole_runs(iter([pages, pages.slice(1)])) for r in part.to_pylist()]
+    assert got == [("b", 5, "6", 0, 3, "De W1 W2"), ("b", 5, "6", 7, 3, "De W1 W2")]
